@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import quality
+from webloom.llm import extract, licenses, packing, quality, secrets
 from webloom.llm.common import table
 
 
+def op3_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, from its whole html."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query uses; it is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, id 1 after each."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with line frequency over all documents; the host is the source."""
     out = quality.line_quality(table(spark, sf_dir, "documents"))
@@ -18,7 +45,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_line_quality,)}
+    return {f.__name__: f for f in (op3_tree_scoring, op4_template_licenses, op5_entropy_secrets, op6_best_fit_packing, op9_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
