@@ -70,7 +70,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return hashes
     width = min(k, n)
-    out = np.full(n - width + 1, np.uint64(0x9E3779B97F4A7C15) * np.uint64(width), np.uint64)
+    out = np.full(n - width + 1, 0x9E3779B97F4A7C15 * width % 2**64, np.uint64)
     for i in range(width):
         out = (out ^ hashes[i : n - width + 1 + i]) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(28)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import extract, licenses, packing, quality, secrets
+from webloom.llm import contain, extract, jaccard, licenses, packing, quality, secrets
 from webloom.llm.common import table
 
 
@@ -38,14 +38,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds at least 80 per cent of the 5-word shingles."""
+    return contain.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with line frequency over all documents; the host is the source."""
     out = quality.line_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of links of at least 0.9 on 3-word shingles over all documents."""
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_tree_scoring, op4_template_licenses, op5_entropy_secrets, op6_best_fit_packing, op9_line_quality)}
+    return {f.__name__: f for f in (op3_tree_scoring, op4_template_licenses, op5_entropy_secrets, op6_best_fit_packing, op8_benchmark_containment, op9_line_quality, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
