@@ -49,8 +49,9 @@ def _repeat_words(words: str, width: int) -> str:
     return f"IF(size({words}) <= {width}, 0L, {grams})"
 
 
-def _normal(line: str) -> str:
-    return f"lower(trim(regexp_replace({line}, '{WS}', ' ')))"
+def _line_hash(line: str) -> str:
+    """The first 60 bits of the MD5 of a normalised line: white space folded and trimmed, lower case."""
+    return f"CAST(conv(left(md5(lower(trim(regexp_replace({line}, '{WS}', ' ')))), 15), 16, 10) AS BIGINT)"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", width: int = 5) -> DataFrame:
@@ -60,7 +61,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     words = f"filter(split(t, '{WS}'), x -> x <> '')"
     lines = f"filter(split(t, '\\n'), x -> x RLIKE '{NON_WS}')"
     by_words = _let(words, "w", f"named_struct('n', CAST(size(w) AS BIGINT), 'repeated', {_repeat_words('w', width)})")
-    line_row = f"named_struct('h', xxhash64({_normal('x')}), 'n', size(filter(split(x, '{WS}'), y -> y <> '')))"
+    line_row = f"named_struct('h', {_line_hash('x')}, 'n', size(filter(split(x, '{WS}'), y -> y <> '')))"
     by_lines = _let(lines, "l", f"named_struct('dup', CAST(size(l) - size(array_distinct(l)) AS BIGINT), 'rows', transform(l, x -> {line_row}))")
     length = lambda c: F.length(c).cast("bigint")
     return d.select(
@@ -128,5 +129,6 @@ def line_quality(
 
 def without_lines(text: Column, bad_lines: Column) -> Column:
     """``text`` without the lines whose normalised hash is in ``bad_lines``; unchanged where that is null or empty."""
-    is_bad = lambda x: F.array_contains(bad_lines, F.xxhash64(F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))))
+    normal = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
+    is_bad = lambda x: F.array_contains(bad_lines, F.conv(F.left(F.md5(normal(x)), F.lit(15)), 16, 10).cast("bigint"))
     return F.when(F.size(F.coalesce(bad_lines, F.array().cast("array<bigint>"))) == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_bad(x)), "\n"))
