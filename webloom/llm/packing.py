@@ -17,9 +17,11 @@ of their own; ties are broken by id and piece; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,47 +42,82 @@ class Encoder:
 
     The tokenizer's normaliser folds white space and its pattern never crosses it, so a text's ids are those of its
     chunks in order; ASCII lower-casing before is what the normaliser does anyway. A chunk of letters followed by
-    marks is encoded in two parts, as the pattern splits it there.
+    marks is encoded in two parts, as the pattern splits it there; many chunks of letters are encoded in one call,
+    as the token that ends each is one with the word-end suffix.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000, slice_bytes: int = 4_000_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.slice_bytes, self.cache = Tokenizer.from_file(path), keep, slice_bytes, {}
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    def _learn_letters(self, chunks: list[bytes]) -> None:
+        for at in range(0, len(chunks), 2000):
+            some = chunks[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                raw, start = ids.tobytes(), 0
+                for c, end in zip(some, ends.tolist(), strict=True):
+                    self.cache[c] = raw[4 * start : 4 * end]
+                    start = end
+            else:  # a vocabulary without word ends
+                self.cache.update(zip(some, self._ids(some), strict=True))
 
     def _learn(self, chunks: set[bytes]) -> None:
         cache = self.cache
-        if len(cache) + len(chunks) > self.keep:
-            cache.clear()
         split: dict[bytes, tuple[bytes, bytes]] = {}
-        need = set()
+        letters, other = set(), set()
         for c in chunks:
             core = c.rstrip(_MARKS)
-            if core and len(core) < len(c) and core.isalpha():
-                split[c] = core, c[len(core) :]
-                need.update(split[c])
+            if core and core.decode().lower().isalpha():
+                letters.add(core)
+                if len(core) < len(c):
+                    split[c] = core, c[len(core) :]
+                    other.add(split[c][1])
             else:
-                need.add(c)
-        todo = [c for c in need if c not in cache]
-        for c, e in zip(todo, self.tokenizer.encode_batch_fast([c.decode() for c in todo], add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
+                other.add(c)
+        self._learn_letters([c for c in letters if c not in cache])
+        other = [c for c in other if c not in cache]
+        cache.update(zip(other, self._ids(other), strict=True))
         for c, (core, marks) in split.items():
             cache[c] = cache[core] + cache[marks]
 
     def encode(self, texts: list[bytes | None], end: int | None) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes, with the id ``end`` after."""
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        for t in texts:
-            chunks = t.lower().split() if t else []
-            try:
-                yield b"".join([self.cache[c] for c in chunks]) + tail
-            except KeyError:
-                here = set(chunks)
-                if len(here) > self.keep // 2:  # a text with more chunks than the cache should hold
-                    yield np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() + tail
-                    continue
-                self._learn(here if len(self.cache) + len(here) > self.keep else {c for c in here if c not in self.cache})
-                yield b"".join([self.cache[c] for c in chunks]) + tail
+        at = 0
+        while at < len(texts):
+            here, size = [], 0
+            while at < len(texts) and size < self.slice_bytes:
+                t = texts[at]
+                here.append(t.lower().split() if t else [])
+                size += len(t or b"")
+                at += 1
+            known = set().union(*here)
+            new = {c for c in known if c not in self.cache}
+            if len(self.cache) + len(new) > self.keep:
+                self.cache.clear()
+                new = known
+            self._learn(new)
+            cache = self.cache
+            for chunks in here:
+                yield b"".join([cache[c] for c in chunks]) + tail
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that tasks share its cache."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,11 +126,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | Non
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for b in batches:
-            encoder = encoder or Encoder(tokenizer)
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(b.column(1).cast(pa.binary()).to_pylist(), end)):
+            for i, ids in enumerate(encoder(tokenizer).encode(b.column(1).cast(pa.binary()).to_pylist(), end)):
                 for k, s in enumerate(range(0, len(ids), width)):
                     part = ids[s : s + width]
                     at.append(i)
