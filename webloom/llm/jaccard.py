@@ -15,13 +15,15 @@ percentage. The join is exact:
    tokens) bounds the sets' difference from below and discards most chance pairs. Lists
    of frequent tokens are split into bands of sizes; sets of one band meet those of the
    next in it.
-4. Answers from similar sets. Candidates that hang together in a list form a block,
-   whose whole sets are fetched and indexed. The overlaps of the first set with all
+4. Sifting. Candidates that hang together in a list form a block. Its members' long
+   bitmaps bound their differences once more, which discards the chance pairs of large
+   sets, and the block falls into what still hangs together.
+5. Answers from similar sets. The whole sets of a block are fetched and indexed. The overlaps of the first set with all
    others are computed from the index; those of a set similar to one already answered
    are derived from its answers by looking up only the tokens in which the two
    differ. A block ends early once it is one component. Blocks beyond a size are cut
    into pairs of chunks, so that memory stays bounded and no pair is lost.
-5. Links of blocks become components by star contraction.
+6. Links of blocks become components by star contraction.
 
 Defined results: null and empty texts have the empty set and link with nothing; fewer
 words than a shingle make one shingle; repeated rows are equal sets; extra columns are
@@ -43,7 +45,7 @@ from pyspark.sql import types as T
 from webloom.llm.common import WordHashes, broadcast_if_small, checkpointed, shingles, word_bytes
 from webloom.llm.components import connected_components
 
-BITS = 256
+BITS, LONG_BITS = 256, 4096
 #: Most members of a block that are compared at once.
 BLOCK = 1500
 #: Tokens that a task counts before it passes its counts on, and the least count it passes on.
@@ -73,9 +75,9 @@ def prefix_length(percent: int, n: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens in each of BITS places, as signed 64-bit words."""
-    odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity of the tokens in each of so many places, as signed 64-bit words. Two sets differ in at least as many tokens as their bitmaps in places."""
+    odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -248,26 +250,34 @@ def chunked(members: list[int], sizes: list[int], percent: int, most: int = BLOC
                 yield x + y
 
 
+def _named(members: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """A block's digests in order, and its name: a hash of them, so that a block found in several lists is one."""
+    pairs = sorted(members)
+    return xxhash.xxh3_64_intdigest(np.array(pairs, np.int64).tobytes()) - 2**63, pairs
+
+
+def _block_rows(blocks: list[tuple[int, list[tuple[int, int]]]]) -> pa.Table:
+    columns = [[name for name, pairs in blocks for _ in pairs], [a for _, pairs in blocks for a, _ in pairs], [b for _, pairs in blocks for _, b in pairs]]
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("block", "a", "b"), columns, strict=True)})
+
+
 def _blocks(entries: DataFrame, percent: int) -> DataFrame:
-    """(block, a, b): members of candidate blocks; a block's name is a hash of its members, so the same block found in several lists is one."""
+    """(block, a, b): members of candidate blocks."""
 
     def emit(t: dict[str, np.ndarray], seen: set[int]) -> pa.RecordBatch | None:
         maps = np.stack([t[f"m{i}"] for i in range(4)], axis=1)
         left, right = list_candidates(t["key"], t["n"].astype(np.int64), t["pos"].astype(np.int64), t["visitor"], t["a"], maps, percent)
         if not len(left):
             return None
-        names, a, b = [], [], []
+        out = []
         for group in groups_of(left, right):
             members = list({(t["a"][m], t["b"][m]): m for m in group}.values())
             for block in chunked(members, [int(t["n"][m]) for m in members], percent):
-                pairs = sorted((int(t["a"][m]), int(t["b"][m])) for m in block)
-                name = xxhash.xxh3_64_intdigest(np.array(pairs, np.int64).tobytes()) - 2**63
+                name, pairs = _named([(int(t["a"][m]), int(t["b"][m])) for m in block])
                 if name not in seen:
                     seen.add(name)
-                    names += [name] * len(pairs)
-                    a += [x for x, _ in pairs]
-                    b += [y for _, y in pairs]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names, a, b)], names=["block", "a", "b"])
+                    out.append((name, pairs))
+        return _block_rows(out).combine_chunks().to_batches()[0] if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -305,19 +315,49 @@ def _blocks(entries: DataFrame, percent: int) -> DataFrame:
     return rows.distinct()
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, tokens) of documents; tokens as bytes of sorted 64-bit hashes."""
+def _sets(docs: DataFrame, k: int, bits: int | None = None) -> DataFrame:
+    """(a, b, tokens) of documents; tokens as bytes of sorted 64-bit hashes, or of the bitmap of so many bits with the size before it."""
+
+    def packed(s: np.ndarray) -> bytes:
+        return s.tobytes() if bits is None else np.concatenate([[len(s)], bitmap(s, bits)]).astype(np.int64).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [token_set(word_bytes(t), hashes, k) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             ds = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "b", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], names=["a", "b", "tokens"])
 
     return docs.mapInArrow(run, "a long, b long, tokens binary")
 
 
+def sift(rows: np.ndarray, percent: int) -> list[list[int]]:
+    """Groups (of two or more) of sets that long bitmaps leave over. rows: size and bitmap of each set."""
+    n, maps = rows[:, 0], rows[:, 1:]
+    left, right = [], []
+    for i in range(len(n) - 1):
+        alpha = needed(percent, n[i], n[i + 1 :])
+        differ = np.bitwise_count((maps[i] ^ maps[i + 1 :]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        j = np.flatnonzero((differ <= n[i] + n[i + 1 :] - 2 * alpha) & (np.minimum(n[i], n[i + 1 :]) >= alpha)) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    return groups_of(left, right) if len(left) else []
+
+
+def _sifted(members: DataFrame, percent: int) -> DataFrame:
+    """(block, a, b) of the blocks that are left. members: block, a, b, tokens (long bitmaps)."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return _block_rows([])
+        a, b = (table.column(c).to_pylist() for c in ("a", "b"))
+        groups = sift(np.array([np.frombuffer(t, np.int64) for t in table.column("tokens").to_pylist()]), percent)
+        return _block_rows([_named([(a[i], b[i]) for i in g]) for g in groups])
+
+    return members.groupBy("block").applyInArrow(solve, "block long, a long, b long").distinct()
+
+
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges that connect the components of the sets' exact links (a spanning forest)."""
     m = len(sets)
@@ -384,9 +424,16 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     order = np.lexsort((counts.column("a").to_numpy(), counts.column("n").to_numpy()))
     frequent = counts.column("a").to_numpy().view(np.uint64)[order]
     blocks = checkpointed(_blocks(_entries(rows, k, percent, frequent), percent))
-    member_reps = checkpointed(blocks.select("a", "b").distinct().join(reps, ["a", "b"]))
-    wanted = broadcast_if_small(member_reps.select(F.col("rep").alias("id")).distinct())
-    sets = _sets(rows.join(wanted, "id", "left_semi"), k).dropDuplicates(["a", "b"])
+
+    def of_members(some: DataFrame, bits: int | None) -> tuple[DataFrame, DataFrame]:
+        """Representatives of the members, and their sets or bitmaps. Their documents are read again; an id with several texts gives sets that no member has."""
+        member_reps = checkpointed(some.select("a", "b").distinct().join(reps, ["a", "b"]))
+        wanted = broadcast_if_small(member_reps.select(F.col("rep").alias("id")).distinct())
+        return member_reps, _sets(rows.join(wanted, "id", "left_semi"), k, bits).dropDuplicates(["a", "b"])
+
+    bitmaps = of_members(blocks, LONG_BITS)[1]
+    blocks = checkpointed(_sifted(blocks.join(bitmaps, ["a", "b"]), percent))
+    member_reps, sets = of_members(blocks, None)
     links = _links(blocks.join(member_reps, ["a", "b"]).join(sets, ["a", "b"]).select("block", "rep", "tokens"), percent)
     found = connected_components(links)
     best = reps.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
