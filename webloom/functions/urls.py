@@ -36,7 +36,7 @@ ARCHIVE_DOMAINS = ("web.archive.org", "archive.org", "ghostarchive.org")
 
 def split_list(text: Column) -> Column:
     """Pieces of a comma list: empty ones dropped, the others trimmed (a blank piece stays as '')."""
-    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), F.trim)
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: F.trim(x))
 
 
 def without_anchor(url: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,19 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+MODULES = ("relational", "scalars", "content", "workflow")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"webloom.plans.{m}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
