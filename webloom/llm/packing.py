@@ -46,7 +46,7 @@ class Encoder:
     as the token that ends each is one with the word-end suffix.
     """
 
-    def __init__(self, path: str, keep: int = 800_000, slice_bytes: int = 4_000_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000, slice_bytes: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
