@@ -66,10 +66,11 @@ def domain_name(url: Column, heuristics: Mapping[str, str] = HEURISTICS) -> Colu
     """Authority of the unwrapped URL, refined by the heuristics in their order."""
     original = unwrapped(url)
     name = authority(original)
+    refined = []  # an authority ends with at most one of the suffixes
     for suffix, pattern in heuristics.items():
         found = F.regexp_extract(original, pattern, 1)
-        name = F.when(name.endswith(suffix) & (found != ""), found).otherwise(name)
-    return name
+        refined.append(F.when(name.endswith(suffix) & (found != ""), found))
+    return F.coalesce(*refined, name)
 
 
 def is_crawlable(url: Column) -> Column:
