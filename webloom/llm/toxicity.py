@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +56,27 @@ def symbols(text: str) -> np.ndarray:
     return np.where(ascii_letter, cp - 96, np.where(cp >= 0xC0, 27 + (cp & 31), 0)).astype(np.int64)
 
 
-def trigram_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of symbol trigrams; texts are set apart by two spaces."""
-    s = symbols("  ".join(["", *(t.lower() for t in texts if t), ""]))
-    return np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+def trigram_counts(texts: Iterable[str | None], chunk: int = 500_000) -> np.ndarray:
+    """Counts of symbol trigrams; texts are set apart by spaces. So many characters are worked on at once."""
+    total = np.zeros(SYMBOLS**3, np.int64)
+
+    def add(some: list[str]) -> None:
+        s = symbols("  ".join(["", *some, ""]))
+        for at in range(0, len(s) - 2, chunk):
+            x = s[at : at + chunk + 2]
+            np.add(total, np.bincount((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], minlength=SYMBOLS**3), out=total)
+
+    held, size = [], 0
+    for t in texts:
+        if t:
+            held.append(t.lower())
+            size += len(t)
+        if size >= chunk:
+            add(held)
+            held, size = [], 0
+    if held:
+        add(held)
+    return total
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
