@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy per character class.
 
-``scan_text`` finds spans in one text. Base kinds are regular expressions; the
-``entropy`` kind slides a window of ``window`` characters over each run of a
-character class (hex digits, base64 alphabet), keeping the counts incrementally
-(one character leaves, one enters), and unites the windows whose entropy reaches the
-class's limit. Runs that an allow-list pattern explains are suppressed; the
-allow-list never suppresses a base kind.
+``scan_text`` finds spans in one text. Base kinds are regular expressions. The
+``entropy`` kind takes candidate strings, runs of the base64 alphabet, and slides a
+window of ``window`` characters over each run of a character class in them (hex
+digits, the whole alphabet), keeping the counts incrementally: one character leaves, one
+enters. It unites the windows whose entropy reaches the class's limit. Candidates that
+an allow-list pattern explains are suppressed; the allow-list never suppresses a base
+kind.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
 alike; ties (spans with one start) are ordered by kind as listed; other columns are
@@ -49,7 +50,7 @@ class EntropyRule:
 class EntropyScan:
     window: int = 20
     rules: tuple[EntropyRule, ...] = (EntropyRule("0-9A-Fa-f", 2.8), EntropyRule("A-Za-z0-9+/_=-", 3.9))
-    #: Runs that one of these matches as a whole are no secrets: UUIDs, the alphabet or digits in order, placeholders, one repeated unit, plain identifiers of words.
+    #: Candidates (runs of the base64 alphabet) that one of these matches as a whole are no secrets: UUIDs, the alphabet or digits in order, placeholders, one repeated unit, plain identifiers of words.
     allow: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"(?i)[a-z0-9+/_=-]*(?:example|placeholder|sample|dummy|changeme|xxxx)[a-z0-9+/_=-]*",
@@ -73,7 +74,7 @@ def high_entropy(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """
     if len(run) < window:
         return []
-    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a character enters before one leaves
     most = (math.log2(window) - bits) * window + 1e-9
     counts: dict[str, int] = {}
     total, spans = 0.0, []
@@ -104,11 +105,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def entropy_spans(text: str, scan: EntropyScan) -> list[tuple[str, int, int]]:
     rules, allow = scan.prepared()
     found: list[list[int]] = []
-    for pattern, needs, bits in rules:
-        for m in pattern.finditer(text):
-            run = m[0]
-            if needs.match(run) and not any(a.fullmatch(run) for a in allow):
-                found += [[m.start() + a, m.start() + b] for a, b in high_entropy(run, scan.window, bits)]
+    for candidate in re.finditer(rf"[A-Za-z0-9+/_=-]{{{scan.window},}}", text):
+        if any(a.fullmatch(candidate[0]) for a in allow):
+            continue
+        for pattern, needs, bits in rules:
+            for m in pattern.finditer(candidate[0]):
+                if needs.match(m[0]):
+                    at = candidate.start() + m.start()
+                    found += [[at + a, at + b] for a, b in high_entropy(m[0], scan.window, bits)]
     found.sort()
     united: list[list[int]] = []
     for a, b in found:

@@ -67,10 +67,9 @@ def merged_headers(stored: Column, update: Column) -> Column:
 def resolve_revisits(
     records: DataFrame, id_col: str = "record_id", url_col: str = "url", time_col: str = "ts", type_col: str = "type", headers_col: str = "headers", buckets: int = 64
 ) -> DataFrame:
-    """One row per revisit: record_id, url_key, ts, status, refers_to, headers. ``type_col``: 'response' or 'revisit'; times are whole numbers or timestamps."""
+    """One row per revisit: record_id, url_key, ts, status, refers_to, headers. ``type_col``: 'response' or 'revisit', other records are left out; times are whole numbers or timestamps."""
     time = F.col(time_col) if records.schema[time_col].dataType.simpleString() in ("bigint", "int") else F.unix_micros(time_col)
-    rows = records.select(F.col(id_col).alias("id"), canonical_url(F.col(url_col)).alias("key"), time.cast("bigint").alias("ts"), (F.col(type_col) == "response").alias("full"), _lowered(F.col(headers_col)).alias("headers"))
-    rows = rows.where(F.col("full").isNotNull())
+    rows = records.where(F.col(type_col).isin("response", "revisit")).select(F.col(id_col).alias("id"), canonical_url(F.col(url_col)).alias("key"), time.cast("bigint").alias("ts"), (F.col(type_col) == "response").alias("full"), _lowered(F.col(headers_col)).alias("headers"))
     span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // buckets))
     rows = rows.withColumn("bucket", F.expr(f"(ts - {lo}L) DIV {width}L"))
