@@ -247,3 +247,13 @@ def x12(s, d):
     near = similarity.nearest(vector_rows(s, d), 5).where("source_page <> target_page")
     texts = vector_rows(s, d).select("id", F.col("id").cast("string").alias("text"))
     return similarity.labelled(similarity.canonical_pairs(near), texts).select("source_id", "target_id", "label", "confidence")
+
+
+@register(
+    "t25_page_processing",
+    """SELECT page_id AS id, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) = 'fr' AS french, len(regexp_extract_all(html, '<a href="[^"]*"')) AS n_links, 0 AS n_media FROM pages""",
+)
+def t25(s, d):
+    """A page's whole treatment in one pass: language gate, links and media."""
+    p = page_rows(s, d)
+    return p.select("id", F.coalesce(F.col("lang") == "fr", F.lit(False)).alias("french"), F.size("all_links").cast("bigint").alias("n_links"), F.size("media").alias("n_media"))
