@@ -46,7 +46,7 @@ class Encoder:
     as the token that ends each is one with the word-end suffix.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, slice_bytes: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000, slice_bytes: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -75,22 +75,23 @@ class Encoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         cache = self.cache
-        split: dict[bytes, tuple[bytes, bytes]] = {}
+        split: dict[bytes, int] = {}  # where the marks begin
         letters, other = set(), set()
         for c in chunks:
             core = c.rstrip(_MARKS)
-            if core and core.decode().lower().isalpha():
-                letters.add(core)
+            if core.isalpha() or core and core.decode().lower().isalpha():
+                if core not in cache:
+                    letters.add(core)
                 if len(core) < len(c):
-                    split[c] = core, c[len(core) :]
-                    other.add(split[c][1])
+                    split[c] = len(core)
+                    other.add(c[len(core) :])
             else:
                 other.add(c)
-        self._learn_letters([c for c in letters if c not in cache])
+        self._learn_letters(list(letters))
         other = [c for c in other if c not in cache]
         cache.update(zip(other, self._ids(other), strict=True))
-        for c, (core, marks) in split.items():
-            cache[c] = cache[core] + cache[marks]
+        for c, at in split.items():
+            cache[c] = cache[c[:at]] + cache[c[at:]]
 
     def encode(self, texts: list[bytes | None], end: int | None) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes, with the id ``end`` after."""
@@ -104,7 +105,7 @@ class Encoder:
                 size += len(t or b"")
                 at += 1
             known = set().union(*here)
-            new = {c for c in known if c not in self.cache}
+            new = known.difference(self.cache)
             if len(self.cache) + len(new) > self.keep:
                 self.cache.clear()
                 new = known
