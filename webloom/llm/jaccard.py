@@ -51,7 +51,7 @@ BLOCK = 1500
 #: Tokens that a task counts before it passes its counts on, and the least count it passes on.
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 4
 #: Frequent tokens are at most so many, and stand in at least so many sets.
-MOST_FREQUENT, FREQUENT_LEAST = 1_000_000, 64
+MOST_FREQUENT, FREQUENT_LEAST = 8_000_000, 16
 
 
 def token_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
