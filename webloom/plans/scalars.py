@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions import dates, text, urls, vectors
-from webloom.operators import media, merge, reports, worklists
+from webloom.operators import media, merge, worklists
 from webloom.plans.registry import register
 from webloom.sources import adapters as A
 
@@ -343,5 +343,3 @@ def c7(s, d):
     rows = counts.groupBy("user_id").agg(F.sum("n").cast("decimal(38,0)").alias("n"), m.alias("m"))
     return rows.select("user_id", F.col("n").cast("bigint").alias("n"), F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("m"))
 
-
-_ = reports

@@ -131,7 +131,12 @@ class Workspace:
         of_land = F.col("land_id") == land
         gone = e.where(of_land & (F.col("relevance") < maxrel) & F.col("fetched_at").isNotNull()) if maxrel else e.where(of_land)
         ids = gone.select(F.col("id").alias("gone_id"))
-        anti = lambda t, *cols: [t := t.join(ids, F.col(c) == F.col("gone_id"), "left_anti") for c in cols][-1]
+
+        def anti(rows: DataFrame, *columns: str) -> DataFrame:
+            for c in columns:
+                rows = rows.join(ids, F.col(c) == F.col("gone_id"), "left_anti")
+            return rows
+
         out = {"expression": anti(e, "id"), "expressionlink": anti(self.table("expressionlink"), "source_id", "target_id"), "media": anti(self.table("media"), "expression_id"), "paragraph": anti(self.table("paragraph"), "expression_id"), "taggedcontent": anti(self.table("taggedcontent"), "expression_id")}
         if not maxrel:
             out |= {n: self.table(n).where(F.col("land_id") != land) for n in ("word", "tag")} | {"land": self.table("land").where(F.col("id") != land)}
