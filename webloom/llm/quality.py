@@ -1,13 +1,16 @@
-"""Quality rules by cross-document line frequency, in DataFrame expressions only.
+"""Quality rules by cross-document line frequency, in DataFrame expressions but for the near-copy groups.
 
 ``line_quality`` measures every whole text (base rules), hashes its normalised
 lines, counts for each host in how many distinct documents a line stands, removes
 lines above the limits and rejects documents that are depleted by it.
 
-A line's count is of documents that differ *around* the line: each document is
-counted under the smallest hash among its other distinct lines. Exact copies thus
-count once and near copies, which share most lines, count a few times, so that a
-group of copies does not make its own lines look like a template.
+A line's count is of distinct documents. Equal texts count once, and so does a group
+of near copies (links of at least 0.9 on 3-word shingles, as ``jaccard`` finds them), so
+that a group of copies does not make its own lines look like a template. Groups are
+sought among the texts that hold a line of at least ``min_docs`` distinct texts; no
+other line can reach the limit. ``count="around"`` keeps the older count, which the SQL
+of ``op9_line_quality`` states: each document under the smallest hash among its other
+distinct lines. Lines of one template hide one another in it.
 
 Defined results: a null text has no words (all zero, base_failed, not kept);
 null hosts form one group; repeated rows are counted as copies; an empty table
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import broadcast_if_small, checkpointed
+from webloom.llm.jaccard import linked_documents
 
 WS = r"[\\x20\\x09-\\x0D]+"
 NON_WS = r"[^\\x20\\x09-\\x0D]"
@@ -75,19 +79,44 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     ).select("id", "host", "text_hash", "word_chars", "n_symbols", F.col("w.n").alias("n_words"), F.col("w.repeated").alias("n_repeat_words"), F.col("l.dup").alias("n_dup_lines"), F.col("l.rows").alias("lines"))
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, h, n_docs) of lines in at least ``min_docs`` and over ``max_share`` of a host's distinct documents.
-
-    Per host there are at most (lines of a document / max_share) of them, whatever the size of the host.
-    """
+def _around(rows: DataFrame) -> DataFrame:
+    """(host, h, n_docs): documents counted under the smallest hash among their other distinct lines."""
     hashes = F.expr("array_distinct(transform(lines, x -> x.h))")
     one = rows.select("host", hashes.alias("hs")).where(F.size("hs") > 0)
     two = one.select("host", "hs", F.array_min("hs").alias("m1")).select("host", "hs", "m1", F.expr("array_min(filter(hs, x -> x <> m1))").alias("m2"))
     each = two.select("host", "m1", "m2", F.explode("hs").alias("h"))
     other = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", "h")).otherwise(F.col("m1"))
-    per_line = each.select("host", "h", other.alias("other")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    per_host = rows.select(F.col("host").alias("host2"), "text_hash").distinct().groupBy("host2").agg(F.count("*").alias("host_docs"))
-    return per_line.join(per_host, F.col("host").eqNullSafe(F.col("host2"))).where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
+    return each.select("host", "h", other.alias("other")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+
+
+def _grouped(rows: DataFrame, texts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(host, h, n_docs) of lines in at least ``min_docs`` distinct texts, and (text_hash, copy_of): the near-copy group of each text that holds one."""
+    each = rows.select("host", "text_hash", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h")).distinct()
+    often = checkpointed(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)).select(F.col("host").alias("often_host"), F.col("h").alias("often_h"))
+    holders = checkpointed(each.join(broadcast_if_small(often), F.col("host").eqNullSafe(F.col("often_host")) & (F.col("h") == F.col("often_h"))).select("host", "h", "text_hash"))
+    wanted = checkpointed(holders.select("text_hash").distinct())
+    some = texts.join(broadcast_if_small(wanted), "text_hash", "left_semi")
+    groups = checkpointed(linked_documents(some, k=3, percent=90, id_col="text_hash", text_col="t").select("text_hash", F.col("component_id").alias("copy_of")).distinct())
+    counts = holders.join(broadcast_if_small(groups), "text_hash").select("host", "h", "copy_of").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    return counts, groups
+
+
+def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, texts: DataFrame | None = None) -> DataFrame:
+    """(host, h, n_docs) of lines in at least ``min_docs`` and over ``max_share`` of a host's distinct documents.
+
+    With ``texts`` (text_hash, t) a group of near copies is one document; without, documents are counted around the line.
+    Per host there are at most (lines of a document / max_share) of them, whatever the size of the host.
+    """
+    document = F.col("text_hash")
+    if texts is None:
+        per_line = _around(rows)
+    else:
+        per_line, groups = _grouped(rows, texts, min_docs)
+        rows = rows.select("host", "text_hash").distinct().join(broadcast_if_small(groups), "text_hash", "left")
+        document = F.coalesce("copy_of", "text_hash")
+    per_host = rows.select(F.col("host").alias("host2"), document.alias("document")).distinct().groupBy("host2").agg(F.count("*").alias("host_docs"))
+    found = per_line.where(F.col("n_docs") >= min_docs).join(per_host, F.col("host").eqNullSafe(F.col("host2")))
+    return found.where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
 
 
 def line_quality(
@@ -101,14 +130,19 @@ def line_quality(
     max_share: float = 0.1,
     min_left: int = 5,
     min_left_share: float = 0.2,
+    count: str = "groups",
 ) -> DataFrame:
     """One row per document: measures, base_failed, removed_words, bad_lines (hashes of lines to remove) and kept.
 
     base_failed: fewer than ``min_words`` words, or over ``repeat_percent`` per cent of them in repeated windows.
     kept: not base_failed, and not depleted. Depleted: removal took words and left fewer than ``min_left`` or under ``min_left_share`` of them.
     """
+    if count not in ("groups", "around"):
+        raise ValueError(f"count must be groups or around, not {count}")
     rows = checkpointed(measured(docs, id_col, text_col, host_col))
-    bad = checkpointed(frequent_lines(rows, min_docs, max_share)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
+    text = F.col(text_col)
+    texts = docs.select(F.when(text.isNotNull(), F.xxhash64(text)).alias("text_hash"), text.alias("t")) if count == "groups" else None
+    bad = checkpointed(frequent_lines(rows, min_docs, max_share, texts)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
     key = F.monotonically_increasing_id()  # of checkpointed rows; repeated ids stay apart
     rows = checkpointed(rows.withColumn("row", key))
     each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
