@@ -25,3 +25,10 @@ def test_near_copies_count_once_beside_a_template(spark):
     rows += [(100 + i, f"{own(999, 30)}\n{own(998, 30)} {i}", "h") for i in range(40)]
     out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
     assert {r.doc_id: r.removed_words for r in out} == {r[0]: 5 if r[0] < 100 else 0 for r in rows}
+
+
+def test_long_line_of_a_large_host(spark):
+    """40 of 800 documents are under a tenth of the host, and enough all the same; a short line needs the tenth."""
+    rows = [(i, f"all rights reserved by us\nok\n{own(i)}" if i < 40 else own(i), "h") for i in range(800)]
+    out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(bad_lines(out)) == 1 and {r.doc_id: r.removed_words for r in out} == {i: 5 if i < 40 else 0 for i in range(800)}

@@ -80,32 +80,32 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def _around(rows: DataFrame) -> DataFrame:
-    """(host, h, n_docs): documents counted under the smallest hash among their other distinct lines."""
+    """(host, h, n_docs, words): documents counted under the smallest hash among their other distinct lines; the words of a line are not carried (null)."""
     hashes = F.expr("array_distinct(transform(lines, x -> x.h))")
     one = rows.select("host", hashes.alias("hs")).where(F.size("hs") > 0)
     two = one.select("host", "hs", F.array_min("hs").alias("m1")).select("host", "hs", "m1", F.expr("array_min(filter(hs, x -> x <> m1))").alias("m2"))
     each = two.select("host", "m1", "m2", F.explode("hs").alias("h"))
     other = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", "h")).otherwise(F.col("m1"))
-    return each.select("host", "h", other.alias("other")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    return each.select("host", "h", other.alias("other")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).withColumn("words", F.lit(None).cast("int"))
 
 
 def _grouped(rows: DataFrame, texts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(host, h, n_docs) of lines in at least ``min_docs`` distinct texts, and (text_hash, copy_of): the near-copy group of each text that holds one."""
-    each = rows.select("host", "text_hash", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h")).distinct()
+    """(host, h, n_docs, words) of lines in at least ``min_docs`` distinct texts, and (text_hash, copy_of): the near-copy group of each text that holds one."""
+    each = rows.select("host", "text_hash", F.explode(F.expr("array_distinct(lines)")).alias("x")).select("host", "text_hash", F.col("x.h").alias("h"), F.col("x.n").alias("words")).distinct()
     often = checkpointed(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)).select(F.col("host").alias("often_host"), F.col("h").alias("often_h"))
-    holders = checkpointed(each.join(broadcast_if_small(often), F.col("host").eqNullSafe(F.col("often_host")) & (F.col("h") == F.col("often_h"))).select("host", "h", "text_hash"))
+    holders = checkpointed(each.join(broadcast_if_small(often), F.col("host").eqNullSafe(F.col("often_host")) & (F.col("h") == F.col("often_h"))).select("host", "h", "words", "text_hash"))
     wanted = checkpointed(holders.select("text_hash").distinct())
     some = texts.join(broadcast_if_small(wanted), "text_hash", "left_semi")
     groups = checkpointed(linked_documents(some, k=3, percent=90, id_col="text_hash", text_col="t").select("text_hash", F.col("component_id").alias("copy_of")).distinct())
-    counts = holders.join(broadcast_if_small(groups), "text_hash").select("host", "h", "copy_of").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    counts = holders.join(broadcast_if_small(groups), "text_hash").select("host", "h", "words", "copy_of").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.max("words").alias("words"))
     return counts, groups
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, texts: DataFrame | None = None) -> DataFrame:
-    """(host, h, n_docs) of lines in at least ``min_docs`` and over ``max_share`` of a host's distinct documents.
+def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, texts: DataFrame | None = None, enough_docs: int | None = None, enough_words: int = 4) -> DataFrame:
+    """(host, h, n_docs) of lines in at least ``min_docs`` and over ``max_share`` of a host's distinct documents, and of lines of ``enough_words`` in ``enough_docs`` of them.
 
     With ``texts`` (text_hash, t) a group of near copies is one document; without, documents are counted around the line.
-    Per host there are at most (lines of a document / max_share) of them, whatever the size of the host.
+    Without ``enough_docs`` there are at most (lines of a document / max_share) of them per host; with it, at most a part 1 / enough_docs of all lines more.
     """
     document = F.col("text_hash")
     if texts is None:
@@ -116,7 +116,8 @@ def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, texts: Data
         document = F.coalesce("copy_of", "text_hash")
     per_host = rows.select(F.col("host").alias("host2"), document.alias("document")).distinct().groupBy("host2").agg(F.count("*").alias("host_docs"))
     found = per_line.where(F.col("n_docs") >= min_docs).join(per_host, F.col("host").eqNullSafe(F.col("host2")))
-    return found.where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
+    shared = F.col("n_docs") > max_share * F.col("host_docs")
+    return found.where(shared if enough_docs is None else shared | ((F.col("n_docs") >= enough_docs) & (F.col("words") >= enough_words))).select("host", "h", "n_docs")
 
 
 def line_quality(
@@ -131,6 +132,8 @@ def line_quality(
     min_left: int = 5,
     min_left_share: float = 0.2,
     count: str = "groups",
+    enough_docs: int | None = 30,
+    enough_words: int = 4,
 ) -> DataFrame:
     """One row per document: measures, base_failed, removed_words, bad_lines (hashes of lines to remove) and kept.
 
@@ -142,7 +145,9 @@ def line_quality(
     rows = checkpointed(measured(docs, id_col, text_col, host_col))
     text = F.col(text_col)
     texts = docs.select(F.when(text.isNotNull(), F.xxhash64(text)).alias("text_hash"), text.alias("t")) if count == "groups" else None
-    bad = checkpointed(frequent_lines(rows, min_docs, max_share, texts)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
+    if count == "around" and enough_docs is not None:
+        raise ValueError("enough_docs needs count=groups")
+    bad = checkpointed(frequent_lines(rows, min_docs, max_share, texts, enough_docs, enough_words)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
     key = F.monotonically_increasing_id()  # of checkpointed rows; repeated ids stay apart
     rows = checkpointed(rows.withColumn("row", key))
     each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))

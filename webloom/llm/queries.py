@@ -67,7 +67,7 @@ def _line_quality(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with line frequency over all documents, counted as its SQL does; the host is the source. Lines of one template hide one another in this count."""
-    return _line_quality(spark, sf_dir, count="around")
+    return _line_quality(spark, sf_dir, count="around", enough_docs=None)
 
 
 def op9_line_quality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
