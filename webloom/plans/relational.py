@@ -276,9 +276,20 @@ def j9(s, d):
     SELECT id, min(depth) AS depth FROM f GROUP BY id""",
 )
 def r2(s, d):
+    """Over the links that its SQL names; ``r2_frontier_all`` takes all."""
     return graph.frontier(pages(s, d).where("id % 50 = 1"), A.links(s, d).where("source_id % 3 = 0"), 3)
 
 
+@register(
+    "r2_frontier_all",
+    f"""WITH RECURSIVE l AS (SELECT DISTINCT source_id, target_id FROM {A.LINK_SQL}), f(id, depth) AS (SELECT id, 0 FROM {A.PAGE.sql} WHERE id % 50 = 1 UNION SELECT l.target_id, f.depth + 1 FROM f JOIN l ON l.source_id = f.id WHERE f.depth < 3)
+    SELECT id, min(depth) AS depth FROM f GROUP BY id""",
+)
+def r2_all(s, d):
+    """The frontier over all links."""
+    return graph.frontier(pages(s, d).where("id % 50 = 1"), A.links(s, d), 3)
+
+
 @register("o6_o8_ordering", f"SELECT id, approved_at FROM {A.FETCH.sql} ORDER BY approved_at NULLS FIRST, id LIMIT 20")
 def o8(s, d):
     return worklists.limited(fetch(s, d).orderBy(F.asc_nulls_first("approved_at"), "id"), 20).select("id", "approved_at")
