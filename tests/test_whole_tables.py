@@ -1,5 +1,8 @@
 """The reference's operators do the whole job: no rows are left out by an id or a cap."""
 
+import pytest
+
+from webloom.operators import relevance
 from webloom.plans import registry
 
 
@@ -23,3 +26,13 @@ def test_frontier_equals_breadth_first_search(spark, sf_dir):
         now = {b for a in now for b in links.get(a, ())} - set(depth)
         depth |= dict.fromkeys(now, i)
     assert {r.id: r.depth for r in registry.queries()["r2_frontier_all"](spark, sf_dir).collect()} == depth
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_every_lemma_of_several_words_counts(spark, stemmed):
+    """1,500 phrases, each on a page of its own: in the title once and in the text twice."""
+    names = ["k" + str(i).translate(str.maketrans("0123456789", "bcdfgjlmnp")) + "k" for i in range(1500)]
+    terms = spark.createDataFrame([(1, f"{x} zzk") for x in names] + [(1, "aak aak")], "land_id int, term string")
+    rows = [(i, f"{x} zzk", f"{x} zzk, {x} zzk; {x} other") for i, x in enumerate(names)] + [(-1, None, "aak aak aak aak aak"), (-2, "none", None)]
+    got = relevance.relevance(spark.createDataFrame(rows, "id int, title string, readable string"), relevance.dictionary(terms, stemmed), stemmed).collect()
+    assert {r.id: r.relevance for r in got} == {i: 12 for i in range(1500)} | {-1: 2, -2: 0}
