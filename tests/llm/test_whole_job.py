@@ -1,6 +1,9 @@
 """The training-data operators do the whole job: cases that a cut or a collapsed count would lose."""
 
-from webloom.llm import quality
+import numpy as np
+import pytest
+
+from webloom.llm import language, quality
 
 PAGES = "doc_id long, text string, source string"
 
@@ -32,3 +35,9 @@ def test_long_line_of_a_large_host(spark):
     rows = [(i, f"all rights reserved by us\nok\n{own(i)}" if i < 40 else own(i), "h") for i in range(800)]
     out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
     assert len(bad_lines(out)) == 1 and {r.doc_id: r.removed_words for r in out} == {i: 5 if i < 40 else 0 for i in range(800)}
+
+
+@pytest.mark.parametrize("start", ["", "<!-- " + "x" * 50_000 + " -->", " " * 50_000, '<!-- <html lang="en"> -->'])
+def test_language_is_declared_after_a_long_start(spark, start):
+    pages = spark.createDataFrame([(1, "http://a.org/", f'{start}<html lang="fr"><p>x</p>')], "id long, url string, html string")
+    assert language._evidence(pages, ["fr"], np.zeros((1, language.BUCKETS))).first()["declared"] == "fr"

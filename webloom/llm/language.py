@@ -37,6 +37,7 @@ from webloom.llm.extract import main_text
 BUCKETS = 1 << 16
 #: Country domains with one prevailing language.
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "cz": "cs", "hu": "hu", "ro": "ro", "gr": "el", "tr": "tr", "ru": "ru", "ua": "uk", "jp": "ja", "kr": "ko", "cn": "zh"}
+HTML = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<html\b[^>]*", re.I | re.S)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
@@ -86,6 +87,13 @@ def text_likelihood(text: str, model: np.ndarray, temper: float = 0.05, most: fl
     return np.maximum(ll - ll.max(), -most)
 
 
+def declared_language(html: str | None) -> str:
+    """The language that the first html tag outside comments declares, wherever it stands; '' without one."""
+    tag = next((m[0] for m in HTML.finditer(html or "") if not m[0].startswith("<!")), "")
+    found = LANG.search(tag)
+    return found[1].lower() if found else ""
+
+
 def address_language(host: str, path: str) -> str:
     """``tld:xx`` of a country domain, else ``path:xx`` of a language step in the path, else ''."""
     if found := COUNTRY.get(host.rpartition(".")[2]):
@@ -106,8 +114,7 @@ def _evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFram
                 host, path = (m[1], m[2]) if m else ("", "")
                 hosts.append(host)
                 domains.append(".".join(host.split(".")[-2:]))
-                found = LANG.search(html, 0, 4096) if html else None
-                declared.append(found[1].lower() if found else "")
+                declared.append(declared_language(html))
                 address.append(address_language(host, path))
                 ll.append(text_likelihood(main_text(html), shared.value))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in (hosts, domains, declared, address)), pa.array([x.tolist() for x in ll], pa.list_(pa.float64()))], names=["id", "url", "host", "domain", "declared", "address", "ll"])
