@@ -107,12 +107,17 @@ def entropy_spans(text: str, scan: EntropyScan) -> list[tuple[str, int, int]]:
     found: list[list[int]] = []
     for candidate in re.finditer(rf"[A-Za-z0-9+/_=-]{{{scan.window},}}", text):
         if any(a.fullmatch(candidate[0]) for a in allow):
-            continue
-        for pattern, needs, bits in rules:
-            for m in pattern.finditer(candidate[0]):
-                if needs.match(m[0]):
-                    at = candidate.start() + m.start()
-                    found += [[at + a, at + b] for a, b in high_entropy(m[0], scan.window, bits)]
+            parts = [m.span() for m in re.finditer(r"[^=/]+", candidate[0])]
+            # a string that an assignment or a path joins to an explained one is judged on its own
+            parts = [(a, b) for a, b in parts if len(parts) > 1 and b - a >= scan.window and not any(x.fullmatch(candidate[0], a, b) for x in allow)]
+        else:
+            parts = [(0, len(candidate[0]))]
+        for start, end in parts:
+            for pattern, needs, bits in rules:
+                for m in pattern.finditer(candidate[0], start, end):
+                    if needs.match(m[0]):
+                        at = candidate.start() + m.start()
+                        found += [[at + a, at + b] for a, b in high_entropy(m[0], scan.window, bits)]
     found.sort()
     united: list[list[int]] = []
     for a, b in found:
