@@ -77,6 +77,12 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def text_bytes(column: pa.Array, rows: int = 200) -> Iterator[bytes | None]:
+    """The texts as UTF-8 bytes; so many rows are held as Python objects at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.binary()).to_pylist()
+
+
 def columns(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[pa.Array, list[bytes | None]]:
     """The id column as it is and the texts as UTF-8 bytes, without decoding."""
     return batch.column(id_col), batch.column(text_col).cast(pa.binary()).to_pylist()

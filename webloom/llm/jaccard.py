@@ -5,25 +5,26 @@ percentage. The join is exact:
 
 1. Equal sets are joined by a 128-bit digest first; one representative of each goes on.
 2. Index. All tokens are ordered: those that are frequent in the corpus last, by their
-   count, the others by hash. Sets that link share a token among the first
-   n - ceil(p n) + 1 of each, so only those prefixes are put into inverted lists,
-   each entry with the set's size, the token's position and a bitmap of the set.
+   count, the others by hash. Sets that link share at least ``shared_least(n)`` tokens,
+   n being the smaller size, among the first n - ceil(p n) + shared_least(n) of each, so
+   only those prefixes are put into inverted lists, each entry with the set's size and
+   the token's position. Lists of frequent tokens are split into bands of sizes; sets of
+   one band meet those of the next in it.
 3. Block-skipping. A list is sorted by size and position. An entry's cursor runs over
    the later ones; where a position leaves too little room for the needed overlap, it
-   skips the rest of the block of that size; where sizes are too far apart, or the
-   entry's own position leaves too little room, it ends. The bitmap (parity of hashed
-   tokens) bounds the sets' difference from below and discards most chance pairs. Lists
-   of frequent tokens are split into bands of sizes; sets of one band meet those of the
-   next in it.
-4. Sifting. Candidates that hang together in a list form a block. Its members' long
-   bitmaps bound their differences once more, which discards the chance pairs of large
-   sets, and the block falls into what still hangs together.
-5. Answers from similar sets. The whole sets of a block are fetched and indexed. The overlaps of the first set with all
-   others are computed from the index; those of a set similar to one already answered
-   are derived from its answers by looking up only the tokens in which the two
-   differ. A block ends early once it is one component. Blocks beyond a size are cut
-   into pairs of chunks, so that memory stays bounded and no pair is lost.
-6. Links of blocks become components by star contraction.
+   skips the rest of the block of that size; where sizes are too far apart, it ends. In
+   short lists each pair is passed on, and only pairs that meet often enough stay. In
+   long lists what hangs together becomes a block, without its pairs.
+4. Sifting. A bitmap as long as the set (parity of hashed tokens) bounds the difference
+   of two sets from below. Pairs, and the members of a block, that it leaves over are
+   edges; their components are groups, and a set is in one group at most.
+5. Answers from similar sets. The whole sets of a group are fetched and indexed. The
+   overlaps of the first set with all others are computed from the index; those of a
+   set similar to one already answered are derived from its answers by looking up only
+   the tokens in which the two differ. A group ends early once it is one component.
+   Groups beyond ``CELL`` tokens are cut into cells of two chunks each, so that memory
+   stays bounded and no pair is lost.
+6. Links become components by star contraction.
 
 Defined results: null and empty texts have the empty set and link with nothing; fewer
 words than a shingle make one shingle; repeated rows are equal sets; extra columns are
@@ -42,16 +43,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WordHashes, broadcast_if_small, checkpointed, shingles, word_bytes
+from webloom.llm.common import WordHashes, broadcast_if_small, checkpointed, shingles, text_bytes, word_bytes
 from webloom.llm.components import connected_components
 
-BITS, LONG_BITS = 256, 4096
-#: Most members of a block that are compared at once.
-BLOCK = 1500
+#: Words (64 bits) of the largest bitmap.
+MAP_WORDS = 512
+#: Most entries of a list whose pairs are passed on one by one, and most members of a block.
+SHORT, BLOCK = 16, 1500
+#: Tokens of one cell's chunk.
+CELL = 1_500_000
 #: Tokens that a task counts before it passes its counts on, and the least count it passes on.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 4
+COUNT_CHUNK, COUNT_LEAST = 2_000_000, 4
 #: Frequent tokens are at most so many, and stand in at least so many sets.
-MOST_FREQUENT, FREQUENT_LEAST = 8_000_000, 16
+MOST_FREQUENT, FREQUENT_LEAST = 1_000_000, 16
+#: Rows that a task holds before it passes them on.
+ROWS = 100_000
 
 
 def token_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
@@ -71,18 +77,34 @@ def needed(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_least(n):
+    """Tokens that the prefixes of two linked sets share at least, where n is the smaller size."""
+    return 1 + n // 40
+
+
 def prefix_length(percent: int, n: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + shared_least(n))
 
 
-def bitmap(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parity of the tokens in each of so many places, as signed 64-bit words. Two sets differ in at least as many tokens as their bitmaps in places."""
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of n to 2 n places (a power of two). Two sets differ in at least as many tokens as their bitmaps, folded to one length, in places."""
+    bits = 64
+    while bits < min(len(tokens), 64 * MAP_WORDS):
+        bits *= 2
     odd = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps brought down to so many 64-bit words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a document's id, digest (a, b) and n. kind 1: a token (a) with its count n among the sets of a task."""
+    """kind 0: a document's id, digest (a, b), n and bitmap. kind 1: a token (a) with its count n among the sets of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -93,100 +115,139 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             token, n = token[n >= COUNT_LEAST], n[n >= COUNT_LEAST]
             m = len(token)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.array(token.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(n)], names=["kind", "id", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.array(token.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(n), pa.nulls(m, pa.binary())], names=["kind", "id", "a", "b", "n", "map"])
 
         for batch in batches:
             id_type = batch.column(0).type
-            a, b, n = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            a, b, n, maps = [], [], [], []
+            for text in text_bytes(batch.column(1)):
                 tokens = token_set(word_bytes(text), hashes, k)
                 d = digest(tokens)
                 a.append(d[0])
                 b.append(d[1])
                 n.append(len(tokens))
-                if len(tokens) and d not in seen:
-                    seen.add(d)
+                maps.append(bitmap(tokens) if len(tokens) else None)
+                if len(tokens) and d[0] not in seen:
+                    seen.add(d[0])
                     held.append(tokens)
                     size += len(tokens)
                     if size > COUNT_CHUNK:
                         yield counted()
                         held, size = [], 0
             m = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["kind", "id", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], names=["kind", "id", "a", "b", "n", "map"])
         if held:
             yield counted()
 
-    schema = T.StructType([T.StructField("kind", T.ByteType()), docs.schema["id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
+    long = T.LongType()
+    schema = T.StructType([T.StructField("kind", T.ByteType()), docs.schema["id"], T.StructField("a", long), T.StructField("b", long), T.StructField("n", long), T.StructField("map", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
-ENTRY = "key long, n int, pos int, visitor boolean, a long, b long, m0 long, m1 long, m2 long, m3 long"
-
-
-def _entries(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Inverted list entries of the prefixes. ``frequent``: the frequent tokens by ascending count."""
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens in order of hash, and their ranks by ascending count. counts: a (token), n."""
+    level = (4 * F.log2("n")).cast("int")
+    levels = {r["level"]: r["tokens"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()}
+    least, total = None, 0
+    for x in sorted(levels, reverse=True):
+        total += levels[x]
+        if total > MOST_FREQUENT:
+            break
+        least = x
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    found = counts.where(level >= least).toArrow()  # at most MOST_FREQUENT
+    token, n = found.column("a").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    rank = np.empty(len(token), np.int32)
+    rank[np.lexsort((token, n))] = np.arange(len(token), dtype=np.int32)
+    by_hash = np.argsort(token)
+    return token[by_hash], rank[by_hash]
+
+
+def _entries(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Inverted list entries of the prefixes: key, a (of the set's digest) and place: size, position and whether it visits the band, in one number."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        by_hash = np.argsort(shared.value)
-        known = shared.value[by_hash]  # by_hash is the rank of each
-        width = log(100 / percent) if percent < 100 else 1.0
+        known, ranks = shared.value
+        width = log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0  # sizes of linked sets are in one band or in neighbours
+        keys, places, of = [], [], []
+        size = 0
 
-        def ordered(tokens: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-            """The first p tokens in the total order, and which of them are frequent."""
+        def ordered(tokens: np.ndarray, p: int) -> tuple[np.ndarray, int]:
+            """The first p tokens in the total order, and how many of them are not frequent."""
             if not len(known):
-                return tokens[:p], np.zeros(min(p, len(tokens)), bool)
+                return tokens[:p], p
             at = np.searchsorted(known, tokens)
             at[at == len(known)] = 0
             is_frequent = known[at] == tokens
             rare = tokens[~is_frequent]
             if len(rare) >= p:
-                return rare[:p], np.zeros(p, bool)
-            rest = tokens[is_frequent][np.argsort(by_hash[at[is_frequent]])][: p - len(rare)]
-            return np.concatenate([rare, rest]), np.arange(p) >= len(rare)
+                return rare[:p], p
+            rest = tokens[is_frequent][np.argsort(ranks[at[is_frequent]])][: p - len(rare)]
+            return np.concatenate([rare, rest]), len(rare)
+
+        def taken() -> pa.RecordBatch:
+            nonlocal keys, places, of, size
+            arrays = [np.concatenate(x) for x in (keys, places, of)]
+            keys, places, of, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(arrays[0].view(np.int64)), pa.array(arrays[1]), pa.array(arrays[2])], names=["key", "place", "a"])
 
         for batch in batches:
-            keys, sizes, places, visitors, of, rows = [], [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in text_bytes(batch.column(1)):
                 tokens = token_set(word_bytes(text), hashes, k)
                 n = len(tokens)
                 d = digest(tokens)
-                if not n or d in seen:
+                if not n or d[0] in seen:
                     continue
-                seen.add(d)
-                first, is_frequent = ordered(tokens, prefix_length(percent, n))
-                pos = np.arange(len(first), dtype=np.int32)
-                key, visitor = first, np.zeros(len(first), bool)
-                if is_frequent.any():  # by size band: its own, and as a visitor the next
+                seen.add(d[0])
+                key, rare = ordered(tokens, prefix_length(percent, n))
+                place = (n << 32) + 2 * np.arange(len(key), dtype=np.int64)
+                if rare < len(key):  # by size band: its own, and as a visitor the next
                     band = int(log(n) / width)
                     salt = lambda x: np.uint64((x + 1) * 0x9E3779B97F4A7C15 % 2**64)
-                    hot = first[is_frequent]
-                    key = np.concatenate([first[~is_frequent], hot ^ salt(band), hot ^ salt(band + 1)])
-                    pos = np.concatenate([pos[~is_frequent], pos[is_frequent], pos[is_frequent]])
-                    visitor = np.arange(len(key)) >= len(first)
+                    hot = key[rare:]
+                    key = np.concatenate([key[:rare], hot ^ salt(band), hot ^ salt(band + 1)])
+                    place = np.concatenate([place, place[rare:] + 1])
                 keys.append(key)
-                places.append(pos)
-                visitors.append(visitor)
-                sizes.append(np.full(len(key), n, np.int32))
-                of.append(np.full(len(key), len(rows)))
-                rows.append((*d, *bitmap(tokens)))
-            if keys:
-                table = np.array(rows, np.int64)[np.concatenate(of)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sizes, places, visitors)), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(6))],
-                    names=["key", "n", "pos", "visitor", "a", "b", "m0", "m1", "m2", "m3"],
-                )
-
-    return docs.mapInArrow(run, ENTRY)
-
-
-def list_candidates(key: np.ndarray, n: np.ndarray, pos: np.ndarray, visitor: np.ndarray, a: np.ndarray, maps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of entries (sorted by key, n, pos) that block-skipping and the bitmap leave over."""
+                places.append(place)
+                of.append(np.full(len(key), d[0]))
+                size += len(key)
+                if size >= ROWS:
+                    yield taken()
+        if keys:
+            yield taken()
+
+    return docs.mapInArrow(run, "key long, place long, a long")
+
+
+def _merge(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, bool]:
+    """``parent`` (each row's least known fellow, itself a root) after joining the rows x and y, and whether that changed it."""
+    changed = False
+    while True:
+        x, y = parent[x], parent[y]
+        apart = x != y
+        if not apart.any():
+            return parent, changed
+        changed = True
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+
+
+def list_candidates(key: np.ndarray, n: np.ndarray, pos: np.ndarray, visitor: np.ndarray, percent: int, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries sorted by key, n, pos: index pairs in lists of at most ``short`` entries that block-skipping leaves over, and for longer lists the first fellow of each entry's block."""
     rows = len(key)
-    if rows < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     index = np.arange(rows)
+    parent = index.copy()
+    none = np.zeros(0, np.int64)
+    if rows < 2:
+        return none, none, parent
 
     def ends(change: np.ndarray) -> np.ndarray:
         """For each row the first later row at which a change is marked."""
@@ -194,168 +255,212 @@ def list_candidates(key: np.ndarray, n: np.ndarray, pos: np.ndarray, visitor: np
         return at[np.searchsorted(at, index, "right")]
 
     new_list = np.r_[True, key[1:] != key[:-1]]
+    starts = np.flatnonzero(new_list)
+    number = np.cumsum(new_list) - 1
     list_end = ends(new_list)
     block_end = ends(new_list | np.r_[True, n[1:] != n[:-1]])
+    is_long = (np.diff(np.r_[starts, rows]) > short)[number]
     i = index[index + 1 < list_end]
     cursor = i + 1
-    left, right = [], []
+    left, right, one = [none], [none], np.zeros(rows, bool)
     while len(i):
-        ni, nc = n[i], n[cursor]
-        alpha = needed(percent, ni, nc)
-        alive = (100 * ni >= percent * nc) & (ni - pos[i] >= alpha)
-        i, cursor, alpha, ni, nc = i[alive], cursor[alive], alpha[alive], ni[alive], nc[alive]
-        room = nc - pos[cursor] >= alpha
-        least_difference = np.bitwise_count((maps[i] ^ maps[cursor]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        hit = room & (least_difference <= ni + nc - 2 * alpha) & ~(visitor[i] & visitor[cursor]) & (a[i] != a[cursor])
-        left.append(i[hit])
-        right.append(cursor[hit])
-        cursor = np.where(room, cursor + 1, block_end[cursor])
-        go = cursor < list_end[i]
+        alive = 100 * n[i] >= percent * n[cursor]
+        i, cursor = i[alive], cursor[alive]
+        ni, nc, pi, pc = n[i], n[cursor], pos[i], pos[cursor]
+        # Common tokens: at most those before both places, this one, and those after.
+        room = np.minimum(pi, pc) + np.minimum(ni - pi, nc - pc) >= needed(percent, ni, nc)
+        hit = room & ~(visitor[i] & visitor[cursor])
+        apart = hit & ~is_long[i]
+        left.append(i[apart])
+        right.append(cursor[apart])
+        together = hit & is_long[i]
+        parent, changed = _merge(parent, i[together], cursor[together])
+        if changed:  # lists that are one block now need no more
+            one |= (np.add.reduceat((parent == index).astype(np.int64), starts) == 1)[number]
+        cursor = np.where(room | (pc < pi), cursor + 1, block_end[cursor])
+        go = (cursor < list_end[i]) & ~(one[i] & is_long[i])
         i, cursor = i[go], cursor[go]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(left), np.concatenate(right), parent
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def groups_of(left: np.ndarray, right: np.ndarray) -> list[list[int]]:
-    """Members of each connected group of the pairs, ascending."""
-    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    parent = list(range(len(names)))
-    for x, y in zip(at[: len(left)].tolist(), at[len(left) :].tolist(), strict=True):
-        rx, ry = _find(parent, x), _find(parent, y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-    out: dict[int, list[int]] = {}
-    for x, name in enumerate(names.tolist()):
-        out.setdefault(_find(parent, x), []).append(name)
-    return list(out.values())
-
-
-def chunked(members: list[int], sizes: list[int], percent: int, most: int = BLOCK) -> Iterator[list[int]]:
-    """The group itself, or pairs of chunks of it by size, so that every pair of compatible sizes is in one of them."""
+def chunked(members: np.ndarray, sizes: np.ndarray, percent: int, most: int = BLOCK) -> Iterator[np.ndarray]:
+    """The block itself, or pairs of chunks of it by size, so that every pair of compatible sizes is in one of them. ``sizes`` ascend."""
     if len(members) <= most:
         yield members
         return
-    by_size = [m for _, m in sorted(zip(sizes, members, strict=True))]
-    size_of = dict(zip(members, sizes, strict=True))
-    chunks = [by_size[i : i + most // 2] for i in range(0, len(by_size), most // 2)]
-    for i, x in enumerate(chunks):
-        for y in chunks[i + 1 :] or [[]]:
-            if not y or 100 * size_of[x[-1]] >= percent * size_of[y[0]] or y is chunks[min(i + 1, len(chunks) - 1)]:
-                yield x + y
-
-
-def _named(members: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    """A block's digests in order, and its name: a hash of them, so that a block found in several lists is one."""
-    pairs = sorted(members)
-    return xxhash.xxh3_64_intdigest(np.array(pairs, np.int64).tobytes()) - 2**63, pairs
-
-
-def _block_rows(blocks: list[tuple[int, list[tuple[int, int]]]]) -> pa.Table:
-    columns = [[name for name, pairs in blocks for _ in pairs], [a for _, pairs in blocks for a, _ in pairs], [b for _, pairs in blocks for _, b in pairs]]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("block", "a", "b"), columns, strict=True)})
-
-
-def _blocks(entries: DataFrame, percent: int) -> DataFrame:
-    """(block, a, b): members of candidate blocks."""
-
-    def emit(t: dict[str, np.ndarray], seen: set[int]) -> pa.RecordBatch | None:
-        maps = np.stack([t[f"m{i}"] for i in range(4)], axis=1)
-        left, right = list_candidates(t["key"], t["n"].astype(np.int64), t["pos"].astype(np.int64), t["visitor"], t["a"], maps, percent)
-        if not len(left):
-            return None
-        out = []
-        for group in groups_of(left, right):
-            members = list({(t["a"][m], t["b"][m]): m for m in group}.values())
-            for block in chunked(members, [int(t["n"][m]) for m in members], percent):
-                name, pairs = _named([(int(t["a"][m]), int(t["b"][m])) for m in block])
-                if name not in seen:
-                    seen.add(name)
-                    out.append((name, pairs))
-        return _block_rows(out).combine_chunks().to_batches()[0] if out else None
+    cuts = [(at, min(at + most // 2, len(members))) for at in range(0, len(members), most // 2)]
+    for x, (a, b) in enumerate(cuts):
+        for c, d in cuts[x + 1 :] or [(b, b)]:
+            if c == b or 100 * sizes[b - 1] >= percent * sizes[c]:
+                yield np.concatenate([members[a:b], members[c:d]])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], rows: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups, of so many rows or more where there are: rows are sorted by their first column, and each table ends where a group does."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))  # where the last group begins
+        if size + cut >= rows and (cut or held and held[-1].column(0)[-1].as_py() != key[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, size = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def slices(table: pa.Table) -> Iterator[pa.Table]:
+    """The groups of two rows or more, one by one."""
+    key = table.column(0).to_numpy()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a > 1:
+            yield table.slice(a, b - a)
+
+
+def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """kind 0: a pair of sets (x, y) that meet often enough. kind 1: a block x with its member y."""
+
+    def batch(kind: int, x: np.ndarray, y: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(least)], names=["kind", "x", "y", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[pa.RecordBatch] = []
-        size = 0
+        for table in grouped(batches, ROWS):
+            key, place, a = (table.column(c).to_numpy() for c in ("key", "place", "a"))
+            same = key[1:] == key[:-1]
+            fresh = np.r_[True, ~(same & (place[1:] == place[:-1]) & (a[1:] == a[:-1]))]  # equal sets of several tasks
+            key, place, a = key[fresh], place[fresh], a[fresh]
+            same = key[1:] == key[:-1]
+            twin = np.r_[same, False] | np.r_[False, same]  # most lists have one entry
+            if not twin.any():
+                continue
+            key, place, a = key[twin], place[twin], a[twin]
+            n = place >> 32
+            left, right, first = list_candidates(key, n, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool), percent)
+            other = a[left] != a[right]
+            left, right = left[other], right[other]
+            if len(left):
+                yield batch(0, np.minimum(a[left], a[right]), np.maximum(a[left], a[right]), shared_least(np.minimum(n[left], n[right])))
+            order = np.argsort(first, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(first[order]) > 0, True])
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                members, at = np.unique(a[order[s:e]], return_index=True)
+                by_size = np.argsort(n[order[s:e]][at], kind="stable")
+                for block in chunked(members[by_size], n[order[s:e]][at][by_size], percent):
+                    block = np.sort(block)
+                    name = xxhash.xxh3_64_intdigest(block.tobytes()) - 2**63
+                    if len(block) > 1 and name not in seen:
+                        seen.add(name)
+                        yield batch(1, np.full(len(block), name), block, np.ones(len(block), np.int64))
+
+    rows = entries.repartition(F.col("key")).sortWithinPartitions("key", "place", "a").mapInArrow(run, "kind byte, x long, y long, least long")
+    return rows.groupBy("kind", "x", "y").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("kind = 1 OR n >= least").select("kind", "x", "y")
+
+
+def sift(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """For each set its group: the least fellow that bitmaps leave it linked with. ``n`` ascends."""
+    m = len(n)
+    label = np.arange(m)
+    words = np.array([len(x) // 8 for x in maps])
+    levels = {}  # words -> first row and bitmaps
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        levels[w] = (int(at[0]), np.frombuffer(b"".join([maps[i] for i in at.tolist()]), np.uint64).reshape(len(at), w))
+    last = np.searchsorted(percent * n, 100 * n, "right")
+    at_level = {(w, x): folded(levels[x][1], w) for w in levels for x in levels if w <= x}
+    for i in range(m - 1):
+        own = maps[i]
+        w = len(own) // 8
+        row = np.frombuffer(own, np.uint64)
+        for x, (first, _) in levels.items():
+            if x < w:
+                continue
+            s, e = max(i + 1, first) - first, min(int(last[i]) - first, len(levels[x][1]))
+            if s >= e:
+                continue
+            differ = np.bitwise_count(at_level[w, x][s:e] ^ row).sum(axis=1, dtype=np.int64)
+            nj = n[first + s : first + e]
+            js = np.flatnonzero(differ <= n[i] + nj - 2 * needed(percent, n[i], nj)) + first + s
+            if len(js):
+                found = np.unique(np.r_[label[js], label[i]])
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+    return label
+
+
+def _kept_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs that the bitmaps leave over."""
+    names = ["a", "n", "m", "b", "n2", "m2"]
+    x, y = maps.toDF("a", "n", "m"), maps.toDF("b", "n2", "m2")
+    joined = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(x, "a").join(y, "b").select(*names)
 
-        def taken(last: bool) -> Iterator[pa.RecordBatch]:
-            """Work on all lists that are complete; the last one may go on in the next batch."""
-            nonlocal held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("key").to_numpy()
-            cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-            if cut:
-                now = table.slice(0, cut)
-                k = key[:cut]
-                twin = np.r_[k[1:] == k[:-1], False] | np.r_[False, k[1:] == k[:-1]]  # most lists have one entry
-                if twin.any():
-                    now = now.filter(pa.array(twin))
-                    out = emit({c: now.column(c).to_numpy(zero_copy_only=False) for c in now.column_names}, seen)
-                    if out is not None:
-                        yield out
-            held = [x for x in table.slice(cut).to_batches() if x.num_rows]
-            size = sum(x.num_rows for x in held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, n2 = b.column(1).to_numpy(), b.column(4).to_numpy()
+            most = n + n2 - 2 * needed(percent, n, n2)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (p, q) in enumerate(zip(b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                w = min(len(p), len(q)) // 8
+                p, q = (folded(np.frombuffer(z, np.uint64)[None, :], w) for z in (p, q))
+                keep[i] = np.bitwise_count(p ^ q).sum(dtype=np.int64) <= most[i]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["a", "b"]).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= 200_000:
-                    yield from taken(False)
-        if held:
-            yield from taken(True)
 
-    rows = entries.repartition(F.col("key")).sortWithinPartitions("key", "n", "pos", "a", "b").mapInArrow(run, "block long, a long, b long")
-    return rows.distinct()
+def _kept_blocks(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges from each member of what is left of a block to one of it."""
+    members = blocks.select(F.col("x").alias("block"), F.col("y").alias("a")).join(maps.toDF("a", "n", "map"), "a").select("block", "n", "a", "map")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches):
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for g in slices(table):
+                a = g.column("a").to_numpy()
+                label = sift(g.column("n").to_numpy(), g.column("map").to_pylist(), percent)
+                own = label != np.arange(len(a))
+                found.append((a[own], a[label[own]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
-def _sets(docs: DataFrame, k: int, bits: int | None = None) -> DataFrame:
-    """(a, b, tokens) of documents; tokens as bytes of sorted 64-bit hashes, or of the bitmap of so many bits with the size before it."""
+    return members.repartition(F.col("block")).sortWithinPartitions("block", "n", "a").mapInArrow(run, "a long, b long").distinct()
 
-    def packed(s: np.ndarray) -> bytes:
-        return s.tobytes() if bits is None else np.concatenate([[len(s)], bitmap(s, bits)]).astype(np.int64).tobytes()
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(a, b, tokens) of documents; tokens as bytes of sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [token_set(word_bytes(t), hashes, k) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            ds = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], names=["a", "b", "tokens"])
-
-    return docs.mapInArrow(run, "a long, b long, tokens binary")
-
-
-def sift(rows: np.ndarray, percent: int) -> list[list[int]]:
-    """Groups (of two or more) of sets that long bitmaps leave over. rows: size and bitmap of each set."""
-    n, maps = rows[:, 0], rows[:, 1:]
-    left, right = [], []
-    for i in range(len(n) - 1):
-        alpha = needed(percent, n[i], n[i + 1 :])
-        differ = np.bitwise_count((maps[i] ^ maps[i + 1 :]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        j = np.flatnonzero((differ <= n[i] + n[i + 1 :] - 2 * alpha) & (np.minimum(n[i], n[i + 1 :]) >= alpha)) + i + 1
-        left.append(np.full(len(j), i))
-        right.append(j)
-    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return groups_of(left, right) if len(left) else []
+            held, size = [], 0
+            for text in text_bytes(batch.column(1)):
+                tokens = token_set(word_bytes(text), hashes, k)
+                held.append((*digest(tokens), tokens.tobytes()))
+                size += len(tokens)
+                if size >= ROWS:
+                    yield _columns(held)
+                    held, size = [], 0
+            if held:
+                yield _columns(held)
 
+    def _columns(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "tokens"])
 
-def _sifted(members: DataFrame, percent: int) -> DataFrame:
-    """(block, a, b) of the blocks that are left. members: block, a, b, tokens (long bitmaps)."""
+    return docs.mapInArrow(run, "a long, b long, tokens binary")
 
-    def solve(table: pa.Table) -> pa.Table:
-        if table.num_rows < 2:
-            return _block_rows([])
-        a, b = (table.column(c).to_pylist() for c in ("a", "b"))
-        groups = sift(np.array([np.frombuffer(t, np.int64) for t in table.column("tokens").to_pylist()]), percent)
-        return _block_rows([_named([(a[i], b[i]) for i in g]) for g in groups])
 
-    return members.groupBy("block").applyInArrow(solve, "block long, a long, b long").distinct()
+def _find(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
 
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -363,16 +468,19 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(flat, kind="stable")
-    tokens, owner = flat[order], owner[order]
+    tokens, owner = flat[order], np.repeat(np.arange(m, dtype=np.int32), sizes)[order]
+    del flat, order
 
     def overlaps(some: np.ndarray) -> np.ndarray:
-        """How many of the tokens each set holds, by the index of the block."""
-        lo, hi = np.searchsorted(tokens, some, "left"), np.searchsorted(tokens, some, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.bincount(owner[at], minlength=m)
+        """How many of the tokens each set holds, by the index of the group."""
+        out = np.zeros(m, np.int64)
+        for part in np.array_split(some, max(1, len(some) * m // 4_000_000)):  # bounds what is looked up at once
+            lo, hi = np.searchsorted(tokens, part, "left"), np.searchsorted(tokens, part, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(owner[at], minlength=m)
+        return out
 
     parent, out, components = list(range(m)), [], m
     leader, answers = None, None
@@ -386,7 +494,7 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             leader, answers = s, overlaps(s)
             own = answers
         union = sizes[i] + sizes - own
-        for j in np.flatnonzero((100 * own >= percent * union) & (np.arange(m) > i)).tolist():
+        for j in (np.flatnonzero((100 * own >= percent * union)[i + 1 :]) + i + 1).tolist():
             x, y = _find(parent, i), _find(parent, j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -398,44 +506,48 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives that a spanning forest of each block's links joins. members: block, rep, tokens."""
+    """(a, b): representatives that a spanning forest of each cell's links joins. members: cell, rep, tokens."""
     rep = members.schema["rep"].dataType
 
-    def solve(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("rep").to_numpy(), kind="stable") if table.num_rows else []
-        reps = table.column("rep").take(pa.array(order))
-        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").take(pa.array(order)).to_pylist()]
-        found = block_links(sets, percent) if len(sets) > 1 else []
-        left, right = (reps.take(pa.array([f[i] for f in found], pa.int64())) for i in (0, 1))
-        return pa.table({"a": left, "b": right})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches):
+            for g in slices(table):
+                reps = g.column("rep").combine_chunks()
+                found = block_links([np.frombuffer(t, np.uint64) for t in g.column("tokens").to_pylist()], percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([reps.take(pa.array([f[i] for f in found], pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+    rows = members.repartition(F.col("cell")).sortWithinPartitions("cell", "rep").select("cell", "rep", "tokens")
+    return rows.mapInArrow(run, T.StructType([T.StructField("a", rep), T.StructField("b", rep)]))
+
 
-    return members.groupBy("block").applyInArrow(solve, T.StructType([T.StructField("a", rep), T.StructField("b", rep)]))
+def _cells(groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cell, a, b, rep): each group's sets; a group of more than ``CELL`` tokens in chunks, of which each two meet in a cell."""
+    least = groups.select(F.col("component").alias("node"), "component").distinct()  # no row of their own
+    all_nodes = groups.unionByName(least).select(F.col("node").alias("a"), F.col("component").alias("group"))
+    members = checkpointed(all_nodes.join(reps, "a").select("group", "a", "b", "rep", "n"))
+    large = members.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts")).where("parts > 1")
+    chunk = F.pmod(F.xxhash64("a", "b"), F.col("parts"))
+    cut = members.join(large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut.select(F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "a", "b", "rep")
 
 
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles and component_id, the least id that links reach (its own where none do)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profile = checkpointed(_profile(rows, k))
-    documents = profile.where("kind = 0").select("id", "a", "b", "n")
-    reps = checkpointed(documents.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"))
-    total = documents.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_LEAST, -(-total // MOST_FREQUENT))  # so there are at most MOST_FREQUENT of them
-    counts = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    order = np.lexsort((counts.column("a").to_numpy(), counts.column("n").to_numpy()))
-    frequent = counts.column("a").to_numpy().view(np.uint64)[order]
-    blocks = checkpointed(_blocks(_entries(rows, k, percent, frequent), percent))
-
-    def of_members(some: DataFrame, bits: int | None) -> tuple[DataFrame, DataFrame]:
-        """Representatives of the members, and their sets or bitmaps. Their documents are read again; an id with several texts gives sets that no member has."""
-        member_reps = checkpointed(some.select("a", "b").distinct().join(reps, ["a", "b"]))
-        wanted = broadcast_if_small(member_reps.select(F.col("rep").alias("id")).distinct())
-        return member_reps, _sets(rows.join(wanted, "id", "left_semi"), k, bits).dropDuplicates(["a", "b"])
-
-    bitmaps = of_members(blocks, LONG_BITS)[1]
-    blocks = checkpointed(_sifted(blocks.join(bitmaps, ["a", "b"]), percent))
-    member_reps, sets = of_members(blocks, None)
-    links = _links(blocks.join(member_reps, ["a", "b"]).join(sets, ["a", "b"]).select("block", "rep", "tokens"), percent)
-    found = connected_components(links)
-    best = reps.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    out = documents.join(best, ["a", "b"], "left")
+    documents = profile.where("kind = 0")
+    reps = checkpointed(documents.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("map").alias("map")).where("rep IS NOT NULL"))
+    counts = checkpointed(profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST))
+    found = checkpointed(_candidates(_entries(rows, k, percent, _frequent(counts)), percent))
+    maps = reps.select("a", "n", "map")
+    edges = _kept_pairs(found.where("kind = 0"), maps, percent).unionByName(_kept_blocks(found.where("kind = 1"), maps, percent))
+    cells = checkpointed(_cells(connected_components(edges), reps.drop("map")))
+    # Their documents are read again; an id with several texts gives sets that no member has.
+    wanted = broadcast_if_small(checkpointed(cells.select(F.col("rep").alias("id")).distinct()), 1_000_000)
+    sets = _sets(rows.join(wanted, "id", "left_semi"), k).dropDuplicates(["a", "b"])
+    linked = connected_components(_links(cells.join(sets, ["a", "b"]).select("cell", "rep", "tokens"), percent))
+    best = reps.join(linked, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
+    with_words = documents.where("n > 0").select("id", "a", "b", "n").join(best, ["a", "b"], "left").select("id", "n", "component")
+    out = with_words.unionByName(documents.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
