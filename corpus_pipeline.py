@@ -5,7 +5,7 @@ read again as the next one's ``docs``. All but the last return the columns of
 ``documents``; where a text changes, ``n_chars`` follows it.
 
 1. quality: documents that the line-frequency rules reject go; lines above the limits
-   are removed from those that stay.
+   are removed from those that stay, but for the one document that keeps each.
 2. near duplicates: of each group of documents linked at 0.8 or more on 5-word shingles,
    the one with the least id stays.
 3. decontamination: documents that contain a benchmark item go.

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -175,22 +176,83 @@ def test_measures_equal_brute_force(documents):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def brute_quality(rows, min_docs=10, max_share=0.1, enough_docs=100, enough_words=8):
+    """doc_id -> (removed_words, kept), from plain counts of distinct documents."""
+    key = lambda t: int(md5(t.encode()).hexdigest()[:15], 16)
+    normal = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).lower()
+    holders, host, failed = defaultdict(dict), defaultdict(set), {}
+    for _, t, h in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeated = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
+        failed[t] = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+        host[h].add(t or "")
+        for x in filter(None, map(normal, (t or "").split("\n"))):
+            holders[h, x][t] = failed[t]
+    bad = {}
+    for (h, x), texts in holders.items():
+        if len(texts) >= min_docs and (len(texts) > max_share * len(host[h]) or len(texts) >= enough_docs and len(x.split()) >= enough_words):
+            bad[h, x] = min((t for t, f in texts.items() if not f), key=key, default=None)
+    out = {}
+    for d, t, h in rows:
+        n = sum(len(x.split()) for x in map(normal, (t or "").split("\n")))
+        removed = sum(len(x.split()) for x in map(normal, (t or "").split("\n")) if (h, x) in bad and bad[h, x] != t)
+        out[d] = (removed, not failed[t] and not (removed and (n - removed < 5 or n - removed < 0.2 * n)))
+    return out
+
+
+def body(i, n=12):
+    return " ".join(f"word{i}x{j}" for j in range(n))
+
+
+def quality_of(spark, rows, **limits):
+    out = quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), **limits).collect()
+    got = {r.doc_id: (r.removed_words, r.kept) for r in out}
+    assert got == brute_quality(rows, **limits)
+    return got
+
+
+def test_quality_equals_brute_force(spark, documents):
+    rows = [(r.doc_id, r.text, r.source) for r in documents.select("doc_id", "text", "source").collect()]
+    assert any(n for n, _ in quality_of(spark, rows, min_docs=2, max_share=0.05, enough_docs=3).values())
+
+
 def test_line_frequency(spark):
-    body = lambda i: " ".join(f"word{i}x{j}" for j in range(12))
     rows = [(i, f"Read  MORE here\n{body(i)}", "h") for i in range(30)] + [(i, body(i), "h") for i in range(30, 60)]
-    rows += [(100, "Read more here\nread more here \nRead more here\nRead more here now\nok", "h")]  # base fails: repeated windows or too few words
-    rows += [(101, "read more here\n" * 5 + "a b c", "h")]
-    rows += [(200 + i, f"{body(999)}\n{body(998)}\n{body(997)} {i}", "k") for i in range(40)]  # near copies on a host of their own
-    rows += [(300 + i, f"{body(500 + i)}\nelse", "k") for i in range(40)]
-    out = {r.doc_id: r for r in quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeat_percent=1000).collect()}
-    assert all(out[i].kept and out[i].removed_words == 3 for i in range(30)) and all(out[i].kept and not out[i].removed_words for i in range(30, 60))
-    assert not out[101].kept and out[101].removed_words == 15 and not out[101].base_failed
-    assert all(out[200 + i].kept for i in range(40))  # copies do not make their own lines frequent
+    rows += [(101, "read more here\n" * 3 + "ok a b", "h"), (102, None, "h"), (103, "", None)]
+    rows += [(300 + i, f"{body(500 + i)}\nread more here", f"k{i}") for i in range(40)]  # once on each of many hosts
+    got = quality_of(spark, rows)
+    assert Counter(got[i] for i in range(30)) == {(3, True): 29, (0, True): 1} and not any(got[300 + i][0] for i in range(40))
+
+
+@pytest.mark.parametrize("shared", [1, 2, 5, 10, 20])
+def test_blocks_of_shared_lines(spark, shared):
+    """A template is counted whole, however many lines it has and however little stands beside it."""
+    template = "\n".join(body(f"t{i}", 6) for i in range(shared))
+    got = quality_of(spark, [(i, f"{template}\n{body(i, 5)}", "h") for i in range(40)])
+    assert Counter(n for n, _ in got.values()) == {6 * shared: 39, 0: 1}
+    assert sum(kept for _, kept in got.values()) == (40 if 5 >= 0.2 * (5 + 6 * shared) and 5 + 6 * shared >= 10 else 1)
+
+
+def test_near_copies_leave_one_whole(spark):
+    rows = [(i, f"{body(999, 30)}\n{body(998, 30)}\n{body(997, 30)} {i}", "k") for i in range(40)] + [(100 + i, body(i, 30), "k") for i in range(60)]
+    got = quality_of(spark, rows)
+    assert Counter(got[i] for i in range(40)) == {(60, True): 39, (0, True): 1} and all(got[100 + i] == (0, True) for i in range(60))
+    rows = [(i, f"{body(999, 30)}\n{body(998, 30)}\nno {i}", "k") for i in range(40)]
+    assert sum(kept for _, kept in quality_of(spark, rows).values()) == 1
+
+
+def test_long_line_of_a_large_host(spark):
+    """40 of 800 documents are under a tenth of the host; enough_docs suffices for lines of some length."""
+    rows = [(i, f"all rights reserved by us\nok\n{body(i)}" if i < 40 else body(i), "h") for i in range(800)]
+    assert Counter(n for n, _ in quality_of(spark, rows, enough_docs=30, enough_words=4).values()) == {5: 39, 0: 761}
+    assert not any(n for n, _ in quality_of(spark, rows).values())
 
 
 def test_removed_lines(spark):
     df = spark.createDataFrame([(1, "Read  MORE here\nrest\n\nread more here"), (2, None)], "doc_id long, text string")
-    h = quality.line_quality(spark.createDataFrame([(i, f"read more here\n{'a' * (i + 1)} b c d e f g h", "h") for i in range(12)], "doc_id long, text string, source string")).first()["bad_lines"]
+    rows = [(i, f"read more here\n{'a' * (i + 1)} b c d e f g h", "h") for i in range(12)]
+    h = next(r.bad_lines for r in quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.bad_lines)
     out = df.withColumn("bad", F.array(*[F.lit(x) for x in h])).select("doc_id", quality.without_lines(F.col("text"), F.col("bad")).alias("t")).collect()
     assert [(r.doc_id, r.t) for r in out] == [(1, "rest\n"), (2, None)]
 
@@ -202,8 +264,9 @@ def test_quality_tables(odd):
 
 
 def test_quality_runs_no_python(documents):
-    plan = quality.measured(documents)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    rows = quality.measured(documents).withColumn("base_failed", F.lit(False))
+    for df in (rows, quality.frequent_lines(rows, 10, 0.1), quality.line_quality(documents)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
 # --- Revisits -----------------------------------------------------------------------------------------------------
@@ -217,8 +280,8 @@ def test_revisits(spark):
         (4, "https://m.A.org/x", 15, "revisit", {"etag": 'W/"1"', "Content-Type": "new", "x": "new", "Date": "d"}), (5, "https://a.org/x", 20, "revisit", {"ETag": '"2"'}), (6, "https://a.org/x", 21, "revisit", {"Last-Modified": "z"}),
         (7, "https://a.org/x", 5, "revisit", None), (8, None, 30, "revisit", {}), (9, "https://a.org/x", None, "revisit", {}), (10, "https://b.org/?b=1&ref=2", 1, "response", None), (11, "https://b.org?b=1", 2, "revisit", None), (12, "https://a.org/x", 99, "metadata", None), (6, "https://a.org/x", 21, "revisit", {"Last-Modified": "z"}),
     ]
-    for buckets in (1, 4, 1000):
-        out = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS).withColumn("key", F.lit(1)), buckets=buckets).collect()
+    for hot in (1, 3, 100_000):
+        out = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS).withColumn("key", F.lit(1)), hot_rows=hot).collect()
         by = {r.record_id: r for r in out}
         assert {i: (r.status, r.refers_to) for i, r in by.items()} == {4: ("resolved", 1), 5: ("mismatch", 1), 6: ("unvalidated", 3), 7: ("no_response", None), 8: ("no_response", None), 9: ("no_response", None), 11: ("unvalidated", 10)}
         assert len(out) == 8
@@ -226,6 +289,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_revisits_of_a_burst(spark):
+    """One URL with a burst and a long tail, and many records without a URL, against brute force."""
+    r = np.random.default_rng(4)
+    times = [*r.integers(0, 40, 300).tolist(), *r.integers(0, 100_000, 100).tolist()]
+    rows = [(i, "http://a.org/" if r.random() < 0.8 else None, int(t), "response" if r.random() < 0.3 else "revisit", {}) for i, t in enumerate(times)]
+    kept = [(t, i) for i, u, t, kind, _ in rows if u and kind == "response"]
+    expected = {i: max((x for x in kept if x[0] < t), default=(None, None))[1] if u else None for i, u, t, kind, _ in rows if kind == "revisit"}
+    df = spark.createDataFrame(rows, RECORDS)
+    for hot in (20, 100_000):
+        assert {x.record_id: x.refers_to for x in warc.resolve_revisits(df, hot_rows=hot).collect()} == expected
+    sizes = [x["n"] for x in warc._with_buckets(df.where("url is not null").select(F.col("url").alias("key"), "ts"), 20).groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 60 and len(sizes) > 8
+
+
 # --- The pipeline -------------------------------------------------------------------------------------------------
 
 

@@ -3,38 +3,7 @@
 import numpy as np
 import pytest
 
-from webloom.llm import language, quality, secrets
-
-PAGES = "doc_id long, text string, source string"
-
-
-def own(i, n=12):
-    return " ".join(f"own{i}x{j}" for j in range(n))
-
-
-def bad_lines(rows):
-    return {h for r in rows for h in r.bad_lines or []}
-
-
-def test_template_of_ten_lines_is_found(spark):
-    template = "\n".join(f"menu entry {i} of site" for i in range(10))
-    rows = [(i, f"{template}\n{own(i, 40)}", "h") for i in range(40)]
-    out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
-    assert len(bad_lines(out)) == 10 and all(r.removed_words == 50 for r in out)
-
-
-def test_near_copies_count_once_beside_a_template(spark):
-    rows = [(i, f"read more on this site\n{own(i)}", "h") for i in range(12)]
-    rows += [(100 + i, f"{own(999, 30)}\n{own(998, 30)} {i}", "h") for i in range(40)]
-    out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
-    assert {r.doc_id: r.removed_words for r in out} == {r[0]: 5 if r[0] < 100 else 0 for r in rows}
-
-
-def test_long_line_of_a_large_host(spark):
-    """40 of 800 documents are under a tenth of the host, and enough all the same; a short line needs the tenth."""
-    rows = [(i, f"all rights reserved by us\nok\n{own(i)}" if i < 40 else own(i), "h") for i in range(800)]
-    out = quality.line_quality(spark.createDataFrame(rows, PAGES)).collect()
-    assert len(bad_lines(out)) == 1 and {r.doc_id: r.removed_words for r in out} == {i: 5 if i < 40 else 0 for i in range(800)}
+from webloom.llm import language, secrets
 
 
 @pytest.mark.parametrize("start", ["", "<!-- " + "x" * 50_000 + " -->", " " * 50_000, '<!-- <html lang="en"> -->'])

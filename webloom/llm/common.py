@@ -40,7 +40,7 @@ def word_bytes(value: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to ``keep`` words."""
 
-    def __init__(self, keep: int = 400_000) -> None:
+    def __init__(self, keep: int = 150_000) -> None:
         super().__init__()
         self.keep = keep
 

@@ -1,16 +1,15 @@
-"""Quality rules by cross-document line frequency, in DataFrame expressions but for the near-copy groups.
+"""Quality rules by cross-document line frequency, in DataFrame expressions only.
 
 ``line_quality`` measures every whole text (base rules), hashes its normalised
 lines, counts for each host in how many distinct documents a line stands, removes
 lines above the limits and rejects documents that are depleted by it.
 
-A line's count is of distinct documents. Equal texts count once, and so does a group
-of near copies (links of at least 0.9 on 3-word shingles, as ``jaccard`` finds them), so
-that a group of copies does not make its own lines look like a template. Groups are
-sought among the texts that hold a line of at least ``min_docs`` distinct texts; no
-other line can reach the limit. ``count="around"`` keeps the older count, which the SQL
-of ``op9_line_quality`` states: each document under the smallest hash among its other
-distinct lines. Lines of one template hide one another in it.
+Documents with equal texts are one distinct document; near copies are several. A line
+goes when it stands in at least ``min_docs`` distinct documents of a host and in over
+``max_share`` of all of them, and a line of ``enough_words`` words also when it stands in
+``enough_docs``, however large the host. Of the documents that hold such a line and pass
+the base rules one, that of the least text key, keeps it: so of many near copies one is
+left whole, where without it all of them would be depleted.
 
 Defined results: a null text has no words (all zero, base_failed, not kept);
 null hosts form one group; repeated rows are counted as copies; an empty table
@@ -23,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import broadcast_if_small, checkpointed
-from webloom.llm.jaccard import linked_documents
 
 WS = r"[\\x20\\x09-\\x0D]+"
 NON_WS = r"[^\\x20\\x09-\\x0D]"
@@ -53,13 +51,18 @@ def _repeat_words(words: str, width: int) -> str:
     return f"IF(size({words}) <= {width}, 0L, {grams})"
 
 
+def _hash(text: str) -> str:
+    """The first 60 bits of the MD5 of a text."""
+    return f"CAST(conv(left(md5({text}), 15), 16, 10) AS BIGINT)"
+
+
 def _line_hash(line: str) -> str:
-    """The first 60 bits of the MD5 of a normalised line: white space folded and trimmed, lower case."""
-    return f"CAST(conv(left(md5(lower(trim(regexp_replace({line}, '{WS}', ' ')))), 15), 16, 10) AS BIGINT)"
+    """The hash of a normalised line: white space folded and trimmed, lower case."""
+    return _hash(f"lower(trim(regexp_replace({line}, '{WS}', ' ')))")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", width: int = 5) -> DataFrame:
-    """One narrow row per document: base measures, hash of the text and its distinct lines (hash, words, copies)."""
+    """One narrow row per document: base measures, key of the text, and its lines with a word (hash, words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("t"))
     words = f"filter(split(t, '{WS}'), x -> x <> '')"
@@ -71,53 +74,27 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return d.select(
         "id",
         "host",
-        F.xxhash64("t").alias("text_hash"),
+        F.expr(_hash("t")).alias("text_key"),
         length(F.translate("t", SPACES, "")).alias("word_chars"),
         (length(F.col("t")) - length(F.translate("t", SYMBOLS, ""))).alias("n_symbols"),
         F.expr(by_words).alias("w"),
         F.expr(by_lines).alias("l"),
-    ).select("id", "host", "text_hash", "word_chars", "n_symbols", F.col("w.n").alias("n_words"), F.col("w.repeated").alias("n_repeat_words"), F.col("l.dup").alias("n_dup_lines"), F.col("l.rows").alias("lines"))
-
-
-def _around(rows: DataFrame) -> DataFrame:
-    """(host, h, n_docs, words): documents counted under the smallest hash among their other distinct lines; the words of a line are not carried (null)."""
-    hashes = F.expr("array_distinct(transform(lines, x -> x.h))")
-    one = rows.select("host", hashes.alias("hs")).where(F.size("hs") > 0)
-    two = one.select("host", "hs", F.array_min("hs").alias("m1")).select("host", "hs", "m1", F.expr("array_min(filter(hs, x -> x <> m1))").alias("m2"))
-    each = two.select("host", "m1", "m2", F.explode("hs").alias("h"))
-    other = F.when(F.col("h") == F.col("m1"), F.coalesce("m2", "h")).otherwise(F.col("m1"))
-    return each.select("host", "h", other.alias("other")).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).withColumn("words", F.lit(None).cast("int"))
+    ).select("id", "host", "text_key", "word_chars", "n_symbols", F.col("w.n").alias("n_words"), F.col("w.repeated").alias("n_repeat_words"), F.col("l.dup").alias("n_dup_lines"), F.col("l.rows").alias("lines"))
 
 
-def _grouped(rows: DataFrame, texts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(host, h, n_docs, words) of lines in at least ``min_docs`` distinct texts, and (text_hash, copy_of): the near-copy group of each text that holds one."""
-    each = rows.select("host", "text_hash", F.explode(F.expr("array_distinct(lines)")).alias("x")).select("host", "text_hash", F.col("x.h").alias("h"), F.col("x.n").alias("words")).distinct()
-    often = checkpointed(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)).select(F.col("host").alias("often_host"), F.col("h").alias("often_h"))
-    holders = checkpointed(each.join(broadcast_if_small(often), F.col("host").eqNullSafe(F.col("often_host")) & (F.col("h") == F.col("often_h"))).select("host", "h", "words", "text_hash"))
-    wanted = checkpointed(holders.select("text_hash").distinct())
-    some = texts.join(broadcast_if_small(wanted), "text_hash", "left_semi")
-    groups = checkpointed(linked_documents(some, k=3, percent=90, id_col="text_hash", text_col="t").select("text_hash", F.col("component_id").alias("copy_of")).distinct())
-    counts = holders.join(broadcast_if_small(groups), "text_hash").select("host", "h", "words", "copy_of").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.max("words").alias("words"))
-    return counts, groups
+def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, enough_docs: int | None = None, enough_words: int = 8) -> DataFrame:
+    """(host, h, n_docs, keeper) of the lines above the limits. rows: host, text_key, lines, base_failed; keeper is the text that keeps the line.
 
-
-def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, texts: DataFrame | None = None, enough_docs: int | None = None, enough_words: int = 4) -> DataFrame:
-    """(host, h, n_docs) of lines in at least ``min_docs`` and over ``max_share`` of a host's distinct documents, and of lines of ``enough_words`` in ``enough_docs`` of them.
-
-    With ``texts`` (text_hash, t) a group of near copies is one document; without, documents are counted around the line.
-    Without ``enough_docs`` there are at most (lines of a document / max_share) of them per host; with it, at most a part 1 / enough_docs of all lines more.
+    There are at most (lines of a document / max_share) of them per host, and a part 1 / enough_docs of all lines more.
     """
-    document = F.col("text_hash")
-    if texts is None:
-        per_line = _around(rows)
-    else:
-        per_line, groups = _grouped(rows, texts, min_docs)
-        rows = rows.select("host", "text_hash").distinct().join(broadcast_if_small(groups), "text_hash", "left")
-        document = F.coalesce("copy_of", "text_hash")
-    per_host = rows.select(F.col("host").alias("host2"), document.alias("document")).distinct().groupBy("host2").agg(F.count("*").alias("host_docs"))
+    lines = rows.select("host", "text_key", "base_failed", F.explode("lines").alias("x")).select("host", "text_key", "base_failed", F.col("x.h").alias("h"), F.col("x.n").alias("words")).distinct()
+    per_line = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.max("words").alias("words"), F.min(F.when(~F.col("base_failed"), F.col("text_key"))).alias("keeper"))
+    per_host = rows.select(F.col("host").alias("host2"), "text_key").distinct().groupBy("host2").agg(F.count("*").alias("host_docs"))
     found = per_line.where(F.col("n_docs") >= min_docs).join(per_host, F.col("host").eqNullSafe(F.col("host2")))
-    shared = F.col("n_docs") > max_share * F.col("host_docs")
-    return found.where(shared if enough_docs is None else shared | ((F.col("n_docs") >= enough_docs) & (F.col("words") >= enough_words))).select("host", "h", "n_docs")
+    above = F.col("n_docs") > max_share * F.col("host_docs")
+    if enough_docs is not None:
+        above |= (F.col("n_docs") >= enough_docs) & (F.col("words") >= enough_words)
+    return found.where(above).select("host", "h", "n_docs", "keeper")
 
 
 def line_quality(
@@ -129,39 +106,32 @@ def line_quality(
     repeat_percent: int = 20,
     min_docs: int = 10,
     max_share: float = 0.1,
+    enough_docs: int | None = 100,
+    enough_words: int = 8,
     min_left: int = 5,
     min_left_share: float = 0.2,
-    count: str = "groups",
-    enough_docs: int | None = 30,
-    enough_words: int = 4,
 ) -> DataFrame:
     """One row per document: measures, base_failed, removed_words, bad_lines (hashes of lines to remove) and kept.
 
     base_failed: fewer than ``min_words`` words, or over ``repeat_percent`` per cent of them in repeated windows.
     kept: not base_failed, and not depleted. Depleted: removal took words and left fewer than ``min_left`` or under ``min_left_share`` of them.
     """
-    if count not in ("groups", "around"):
-        raise ValueError(f"count must be groups or around, not {count}")
-    rows = checkpointed(measured(docs, id_col, text_col, host_col))
-    text = F.col(text_col)
-    texts = docs.select(F.when(text.isNotNull(), F.xxhash64(text)).alias("text_hash"), text.alias("t")) if count == "groups" else None
-    if count == "around" and enough_docs is not None:
-        raise ValueError("enough_docs needs count=groups")
-    bad = checkpointed(frequent_lines(rows, min_docs, max_share, texts, enough_docs, enough_words)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"))
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    rows = checkpointed(measured(docs, id_col, text_col, host_col).withColumn("base_failed", base))
+    bad = checkpointed(frequent_lines(rows, min_docs, max_share, enough_docs, enough_words)).select(F.col("host").alias("bad_host"), F.col("h").alias("bad_h"), "keeper")
     key = F.monotonically_increasing_id()  # of checkpointed rows; repeated ids stay apart
     rows = checkpointed(rows.withColumn("row", key))
-    each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    each = rows.select("row", "host", "text_key", F.explode("lines").alias("x")).select("row", "host", "text_key", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     hit = each.join(broadcast_if_small(bad), F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h")))
-    removed = hit.groupBy("row").agg(F.sum("n").cast("bigint").alias("removed"), F.collect_set("h").alias("bad_lines"))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    gone = hit.where(~F.col("text_key").eqNullSafe(F.col("keeper")))
+    removed = gone.groupBy("row").agg(F.sum("n").cast("bigint").alias("removed"), F.collect_set("h").alias("bad_lines"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_left) | (left < min_left_share * F.col("n_words")))
     return (
-        rows.drop("lines", "text_hash")
+        rows.drop("lines", "text_key")
         .join(removed, "row", "left")
         .withColumn("removed_words", F.coalesce("removed", F.lit(0).cast("bigint")))
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & ~depleted)
+        .withColumn("kept", ~F.col("base_failed") & ~depleted)
         .select(F.col("id").alias(id_col), F.col("host").alias(host_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "bad_lines")
     )
 

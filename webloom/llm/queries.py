@@ -60,19 +60,10 @@ def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _line_quality(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    out = quality.line_quality(table(spark, sf_dir, "documents"), **how)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
-
-
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules with line frequency over all documents, counted as its SQL does; the host is the source. Lines of one template hide one another in this count."""
-    return _line_quality(spark, sf_dir, count="around", enough_docs=None)
-
-
-def op9_line_quality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules with line frequency over all documents, near-copy groups counted once; the host is the source. SQL does not state such groups."""
-    return _line_quality(spark, sf_dir)
+    """Quality rules with line frequency over all documents; the host is the source."""
+    out = quality.line_quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +81,6 @@ QUERIES = (
     op7_not_modified_revisits,
     op8_benchmark_containment,
     op9_line_quality,
-    op9_line_quality_groups,
     op10_jaccard_join,
 )
 
@@ -133,32 +123,31 @@ WITH words AS (
   SELECT doc_id, x.i AS i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, x.g) > 1
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM repeated, range(0, 5) AS r(j) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, source, t, CAST('0x' || left(md5(t), 15) AS BIGINT) AS text_key, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+  FROM words LEFT JOIN covered c USING (doc_id)
 ), lines AS (
-  SELECT doc_id, source, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM words
+  SELECT doc_id, source, text_key, base_failed, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM base
 ), dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id
 ), normal AS (
-  SELECT doc_id, source, CAST('0x' || left(md5(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))), 15) AS BIGINT) AS h,
+  SELECT doc_id, source, text_key, base_failed, CAST('0x' || left(md5(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))), 15) AS BIGINT) AS h,
          len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM lines
-), one AS (
-  SELECT DISTINCT doc_id, source, h FROM normal
-), ranked AS (
-  SELECT *, min(h) OVER (PARTITION BY doc_id) AS m1, nth_value(h, 2) OVER (PARTITION BY doc_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS m2 FROM one
 ), frequent AS (
-  SELECT l.source, l.h
-  FROM (SELECT source, h, count(DISTINCT CASE WHEN h = m1 THEN coalesce(m2, h) ELSE m1 END) AS n_docs FROM ranked GROUP BY source, h) l
+  SELECT l.source, l.h, l.keeper
+  FROM (SELECT source, h, count(DISTINCT text_key) AS n_docs, max(n) AS words, min(text_key) FILTER (NOT base_failed) AS keeper FROM normal GROUP BY source, h) l
   JOIN (SELECT source, count(DISTINCT t) AS host_docs FROM words GROUP BY source) c ON c.source = l.source
-  WHERE n_docs >= 10 AND n_docs > 0.1 * host_docs
+  WHERE n_docs >= 10 AND (n_docs > 0.1 * host_docs OR n_docs >= 100 AND words >= 8)
 ), removed AS (
-  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM normal JOIN frequent USING (source, h) GROUP BY doc_id
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM normal JOIN frequent USING (source, h) WHERE text_key IS DISTINCT FROM keeper GROUP BY doc_id
 ), measured AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
-         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(r.n, 0) AS removed_words
-  FROM words LEFT JOIN dups d USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id)
+  SELECT doc_id, n_words, n_repeat_words, base_failed, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS removed_words
+  FROM base LEFT JOIN dups d USING (doc_id) LEFT JOIN removed r USING (doc_id)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed_words > 0 AND (n_words - removed_words < 5 OR n_words - removed_words < 0.2 * n_words)) AS kept, removed_words
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 5 OR n_words - removed_words < 0.2 * n_words)) AS kept, removed_words
 FROM measured
 """
 

@@ -4,10 +4,12 @@ A revisit record says that a server answered "not modified": it has headers but
 payload. ``resolve_revisits`` finds for each the latest earlier full response to the
 same canonical URL, checks the validators that both have (ETag by weak comparison, else
 Last-Modified) and merges the headers that such an answer may update into the stored
-ones. The join is a window over time in buckets: each (URL, bucket) is one window
-group, and what a bucket starts with is the latest response of the buckets before it,
-of which there are at most ``buckets`` for a URL. A URL with a third of all records is
-thus spread over as many tasks. Payloads are not moved: the result names the response.
+ones. The join is a window over time. A URL of more than ``hot_rows`` records is cut into
+buckets at the quantiles of its own times, so that a burst is cut as well: each
+(URL, bucket) is one window group, and what a bucket starts with is the latest response
+of the buckets before it. A URL with a third of all records is thus spread over many
+tasks; only records of one URL and one time stay together. Payloads are not moved: the
+result names the response.
 
 Status of a revisit: ``resolved`` (a validator of both agrees), ``unvalidated`` (they
 share no validator), ``mismatch`` (the shared one differs), ``no_response`` (no
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.llm.common import broadcast_if_small, checkpointed
+
 #: Headers that a not-modified answer must not change, as they describe the stored body or the connection.
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade",
@@ -64,24 +68,38 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
 
 
+def _with_buckets(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` (key, ts) with a bucket of time: 0, and for keys of more than ``hot_rows`` rows the number of quantiles before it."""
+    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows))
+    most = hot.agg(F.max("n")).first()[0]
+    if most is None:
+        return rows.withColumn("bucket", F.lit(0))
+    parts = min(10_000, -(-most // hot_rows))
+    of_hot = rows.join(broadcast_if_small(hot.select("key")), "key").groupBy("key")
+    edges = checkpointed(of_hot.agg(F.array_distinct(F.percentile_approx("ts", [i / parts for i in range(1, parts)], 10_000)).alias("edges")))
+    joined = rows.join(broadcast_if_small(edges, 1_000_000 // parts), "key", "left")
+    return joined.withColumn("bucket", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("ts"))), F.lit(0))).drop("edges")
+
+
 def resolve_revisits(
-    records: DataFrame, id_col: str = "record_id", url_col: str = "url", time_col: str = "ts", type_col: str = "type", headers_col: str = "headers", buckets: int = 64
+    records: DataFrame, id_col: str = "record_id", url_col: str = "url", time_col: str = "ts", type_col: str = "type", headers_col: str = "headers", hot_rows: int = 100_000
 ) -> DataFrame:
     """One row per revisit: record_id, url_key, ts, status, refers_to, headers. ``type_col``: 'response' or 'revisit', other records are left out; times are whole numbers or timestamps."""
     time = F.col(time_col) if records.schema[time_col].dataType.simpleString() in ("bigint", "int") else F.unix_micros(time_col)
-    rows = records.where(F.col(type_col).isin("response", "revisit")).select(F.col(id_col).alias("id"), canonical_url(F.col(url_col)).alias("key"), time.cast("bigint").alias("ts"), (F.col(type_col) == "response").alias("full"), _lowered(F.col(headers_col)).alias("headers"))
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // buckets))
-    rows = rows.withColumn("bucket", F.expr(f"(ts - {lo}L) DIV {width}L"))
-    when = F.when(F.col("full") & F.col("key").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "id"))
-    response = F.when(when.isNotNull(), F.struct(F.col("id").alias("id"), F.col("headers").alias("headers")))
+    every = records.where(F.col(type_col).isin("response", "revisit")).select(F.col(id_col).alias("id"), canonical_url(F.col(url_col)).alias("key"), time.cast("bigint").alias("ts"), (F.col(type_col) == "response").alias("full"), _lowered(F.col(headers_col)).alias("headers"))
+    placed = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    rows = _with_buckets(every.where(placed), hot_rows)
+    when = F.when(F.col("full"), F.struct("ts", "id"))
+    response = F.when(F.col("full"), F.struct(F.col("id").alias("id"), F.col("headers").alias("headers")))
     # What each bucket of a URL ends with, and from it what the next ones start with.
-    ends = rows.where(when.isNotNull()).groupBy("key", "bucket").agg(F.max_by(response, when).alias("last"))
+    ends = rows.where("full").groupBy("key", "bucket").agg(F.max_by(response, when).alias("last"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select("key", "bucket").distinct().join(ends, ["key", "bucket"], "left").select("key", "bucket", F.last("last", ignorenulls=True).over(earlier).alias("start"))
     before = Window.partitionBy("key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("found", F.max_by(response, when).over(before)).where(~F.col("full"))
-    out = inside.join(starts, ["key", "bucket"], "left").withColumn("r", F.when(F.col("key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("found", "start")))
+    found = inside.join(starts, ["key", "bucket"], "left").withColumn("r", F.coalesce("found", "start")).select("id", "key", "ts", "headers", "r")
+    alone = every.where(~placed & ~F.col("full")).withColumn("r", F.lit(None).cast(found.schema["r"].dataType)).select("id", "key", "ts", "headers", "r")
+    out = found.unionByName(alone)
     same = F.coalesce(_same(F.col("r.headers"), F.col("headers"), "etag"), _same(F.col("r.headers"), F.col("headers"), "last-modified"))
     status = F.when(F.col("r").isNull(), "no_response").when(same, "resolved").when(~same, "mismatch").otherwise("unvalidated")
     return out.withColumn("status", status).select(
