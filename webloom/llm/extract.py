@@ -16,6 +16,7 @@ the first in page order; repeated rows are extracted alike; other columns are ig
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,12 +53,13 @@ RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
 
 class Node:
-    """A block element: its name, its children (Nodes and text runs) and what scoring needs."""
+    """A block element: its name, its children (Nodes and text runs) and what scoring needs. ``inside``: it stands in an article or main element."""
 
-    __slots__ = ("children", "dropped", "links", "main", "name", "order", "parent", "points", "size")
+    __slots__ = ("children", "dropped", "inside", "links", "main", "name", "order", "parent", "points", "size")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool, main: bool, order: int) -> None:
         self.name, self.parent, self.dropped, self.main, self.order = name, parent, dropped, main, order
+        self.inside = parent is not None and (parent.main or parent.inside)
         self.children: list = []
         self.points, self.size, self.links = 0.0, 0, 0
 
@@ -77,20 +79,55 @@ def _is_boilerplate(attributes: dict[str, str]) -> bool:
     return False
 
 
+class _Open:
+    """The open elements from the root down, with the depths at which each name stands, so that nothing climbs the tree."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.depths, self.scopes = [root], {}, []
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, x: Node) -> None:
+        self.depths.setdefault(x.name, []).append(len(self.stack))
+        if x.name in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(x)
+
+    def last(self, names) -> int:
+        """The depth of the innermost open element with one of the names; 0 without one."""
+        return max((d[-1] for n in names if (d := self.depths.get(n))), default=0)
+
+    def ended(self, names: list[str], barrier: int, outer: bool) -> int:
+        """The depth of the innermost (or outermost) open element with one of the names beyond the barrier; 0 without one."""
+        lists = [d for n in names if (d := self.depths.get(n)) and d[-1] > barrier]
+        if outer:
+            return min((d[bisect_right(d, barrier)] for d in lists), default=0)
+        return max((d[-1] for d in lists), default=0)
+
+    def paragraph(self) -> int:
+        """The depth of an open ``p`` with no scope inside of it; 0 without one."""
+        at = self.last(("p",))
+        return at if at and (not self.scopes or self.scopes[-1] < at) else 0
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all in it."""
+        while len(self.stack) > depth:
+            x = self.stack.pop()
+            self.depths[x.name].pop()
+            if x.name in SCOPES:
+                self.scopes.pop()
+
+
 def parse(html: str) -> Node:
-    """The tree of block elements; inline elements only mark link text in it."""
+    """The tree of block elements; of the inline ones only links are told apart."""
     root = Node("html", None, False, False, 0)
-    node, made, at = root, 1, 0
-    inline: list[str] = []  # open inline elements, for links
+    opened, made, at, link = _Open(root), 1, 0, False
 
     def text(raw: str) -> None:
         if raw:
-            node.children.append((unescape(raw) if "&" in raw else raw, "a" in inline))
-
-    def close(target: Node) -> None:
-        nonlocal node
-        node = target.parent or root
-        inline.clear()
+            opened.node.children.append((unescape(raw) if "&" in raw else raw, link))
 
     while m := TAG.search(html, at):
         text(html[at : m.start()])
@@ -103,65 +140,45 @@ def parse(html: str) -> Node:
         name, raw = name.lower(), m[2] or m[4] or ""
         if m[0][1] == "/":
             if name in INLINE:
-                if name in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(name)]
-            elif name == "br" or name == "p" and not _open(node, "p"):
-                node.children.append(("\n", False))
-            else:
-                if target := _open(node, name):
-                    close(target)
+                link = link and name != "a"
+            elif name == "br" or name == "p" and not opened.paragraph():
+                opened.node.children.append(("\n", False))
+            elif depth := opened.paragraph() if name == "p" else opened.last((name,)):
+                opened.close(depth)
+                link = False
             continue
         if name in RAW:
             end = RAW_END[name].search(html, at)
             at = end.start() if end else len(html)
             continue
         if name in INLINE:
-            if name == "a" and "a" in inline:
-                inline.remove("a")
-            if name != "wbr":
-                inline.append(name)
+            link = link or name == "a"
             continue
         if name in VOID:
             if name in ("br", "hr"):
-                node.children.append(("\n", False))
+                opened.node.children.append(("\n", False))
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P and (target := _open(node, "p")):
-            close(target)
+        ended = opened.paragraph() if name in CLOSES_P else 0
         if name in ENDS:
             names, barrier = ENDS[name]
-            x = node
-            while x is not root and x.name not in barrier:
-                if x.name in names.split():
-                    close(x)
-                    if name != "tr":
-                        break
-                x = x.parent
+            ended = opened.ended(names.split(), opened.last(barrier), name == "tr")
+        if ended:
+            opened.close(ended)
+            link = False
         attributes = _attributes(raw)
         main = name in ("article", "main") or attributes.get("role") == "main" or "articlebody" in attributes.get("itemprop", "")
         dropped = name in DROPPED or not main and _is_boilerplate(attributes)
         if not raw.endswith("/") or name not in ("svg", "path"):
-            child = Node(name, node, dropped, main, made)
+            child = Node(name, opened.node, dropped, main, made)
             made += 1
-            node.children.append(child)
-            node = child
+            opened.node.children.append(child)
+            opened.push(child)
     text(html[at:])
     return root
 
 
-def _open(node: Node, name: str) -> Node | None:
-    """The innermost open element ``name``; for ``p`` none beyond a scope."""
-    x = node
-    while x.parent is not None:
-        if x.name == name:
-            return x
-        if name == "p" and x.name in SCOPES:
-            return None
-        x = x.parent
-    return None
-
-
 def _walk(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -182,11 +199,8 @@ def _settle(nodes: list[Node]) -> None:
                 p = p.parent
     for x in nodes:
         if x.name == "header":
-            p = x.parent
-            while p is not None and not p.main:
-                p = p.parent
             heading = any(isinstance(c, Node) and c.name in HEADINGS for c in x.children)
-            x.dropped = x.dropped or p is None or not heading
+            x.dropped = x.dropped or not x.inside or not heading
         if x in holds and x.name not in DROPPED:
             x.dropped = False
 
@@ -202,18 +216,17 @@ def _score(root: Node) -> list[Node]:
     for x in kept:
         own = [c for c in x.children if not isinstance(c, Node)]
         words = " ".join("".join(t for t, _ in own).split())
-        size, links = len(words), sum(len(t.strip()) for t, a in own if a)
-        p = x
-        while p is not None:
-            p.size += size
-            p.links += links
-            p = p.parent
+        x.size, links = len(words), sum(len(t.strip()) for t, a in own if a)
+        x.links, size = links, x.size
         if size:
             points = (1 + words.count(",") + min(size / 100, 3.0)) * (0.25 if x.name in HEADINGS else 1.0) * (1 - min(1.0, links / size))
             p, part = (x.parent if x.name in PARAGRAPHS and x.parent else x), 1.0
             while p is not None and part > 0.05:
                 p.points += points * part
                 p, part = p.parent, part / 2 if part == 1.0 else part / 1.5
+    for x in reversed(kept[1:]):  # children before their parents
+        x.parent.size += x.size
+        x.parent.links += x.links
     return kept
 
 
