@@ -5,7 +5,9 @@ import math
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -87,11 +89,19 @@ def test_secrets_of_documents(spark, sf_dir, documents):
 # --- Licenses -----------------------------------------------------------------------------------------------------
 
 
+def machines():
+    return licenses.automata(licenses.TEMPLATES + licenses.file_templates())
+
+
+def scanned(t):
+    return licenses.scan_words(licenses.license_words(t.encode()), machines())
+
+
 def test_license_words_and_phrases(odd, empty):
     t = "MIT License, the Apache\nLICENSE é1 general PUBLIC license: mit license"
     w = licenses.license_words(t.encode())
     assert [x.decode() for x in w] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    f = licenses.scan_words(w)
+    f = licenses.scan_words(w, machines())
     assert (f["n_base"], f["first_word"], f["last_word"], f["base_labels"]) == (4, 0, 9, ["apache", "gpl", "mit"])
     rows = licenses.digest(licenses.scan(odd)).collect()
     assert len(rows) == len(ODD) and {(r.labels, r.score) for r in rows} == {("", 0.0)}
@@ -102,13 +112,49 @@ def test_templates():
     a = licenses.compile_template("x", "one [[or [[even]] two]] three <<2>> four")
     match = lambda t: a.match(t.encode().split(), 0)
     assert [match(t) for t in ("one three four", "one or two three four", "one or even two three a b four", "one three a b c four", "one two three four", "one three a")] == [3, 5, 8, None, None, None]
-    labels = lambda t: {s[0] for s in licenses.scan_words(licenses.license_words(t.encode()))["spans"]}
+    labels = lambda t: {s[0] for s in scanned(t)["spans"]}
     assert labels("Licensed under the Apache License, Version 2.0.") == {"apache-2.0"}
     assert labels("This work is licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
     assert labels("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"}
     assert labels("Licensed under the Apache Licence, Version 2.0.") == set()
 
 
+def test_replaceable_patterns():
+    a = licenses.compile_template("x", "<<1:ab?>> one <<2:[0-9]+>> two")
+    match = lambda t: a.match(t.encode().split(), 0)
+    assert [match(t) for t in ("one two", "a one 1 22 two", "ab one two", "c one two", "one x two", "one 1 2 3 two")] == [2, 5, 3, None, None, None]
+    for wrong in ("[[a]]", "<<2>> a", "[[a b", "a ]]"):
+        with pytest.raises(ValueError, match="template|region"):
+            licenses.compile_template("x", wrong)
+
+
+def test_whole_licenses():
+    whole = lambda t: {(s[0], s[1]) for s in scanned(t)["spans"]}
+    mit = re.sub("<<12>>", "THE AUTHORS OR COPYRIGHT HOLDERS", re.sub(r"\[\[.*?\]\]", "", next(t for label, kind, t in licenses.TEMPLATES if (label, kind) == ("mit", "text")).split("]]", 2)[2]))
+    for before in ("", "Copyright (c) 2024 A. Holder\n\n", "MIT License\n\nCopyright 1999-2001, 2020 Some Company & Co. KG "):
+        assert whole(f"x y {before}{mit}. and more") == {("mit", "text")} and scanned(before + mit)["score"] == 1.0
+    words = mit.split()
+    for i in range(0, len(words), 7):  # one mandatory word changed or left out
+        assert ("mit", "text") not in whole(" ".join([*words[:i], words[i] + "x", *words[i + 1 :]])) | whole(" ".join(words[:i] + words[i + 1 :]))
+    for label, name, tail in licenses.FILES:
+        t = (Path(licenses.__file__).parent / "license_texts" / name).read_text()
+        body = t.partition(tail)[0] if tail else t
+        assert (label, "text") in whole(t.upper()) & whole(f"see: {body}")
+        assert (label, "text") not in whole(t.replace(" shall ", " should ").replace(" must ", " might ").replace(" may ", " can "))
+
+
+def test_base_columns_of_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(docs)).collect()}
+    for r in docs.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        at = {label: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p, label in licenses.PHRASES}
+        places = sorted(x for v in at.values() for x in v)
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert g.base_labels == ",".join(sorted(k for k, v in at.items() if v)) and set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(","))
+
+
 # --- Extraction ---------------------------------------------------------------------------------------------------
 
 CASES = [
@@ -165,8 +211,32 @@ def test_plan_places_every_piece_once(counts):
             assert offset == at
             at += length
         assert at <= 64 and sum(3 * n > 64 for _, n in pieces) <= 2
-    total = sum(n * c for n, c in counts.items())
-    assert bins <= max(1, 2 * -(-total // 64)) or not counts
+    assert bins <= greedy_bins(counts, 64)
+
+
+def greedy_bins(counts, capacity):
+    """Bins by plain matching of one piece after the other, and best fit for the small ones."""
+    pool = sorted(n for n, c in counts.items() for _ in range(c) if 3 * n > capacity)
+    rooms = []
+    while pool:
+        a = pool.pop()
+        i = bisect_right(pool, capacity - a) - 1
+        insort(rooms, capacity - a - (pool.pop(i) if i >= 0 else 0))
+    for n in sorted((n for n, c in counts.items() for _ in range(c) if 3 * n <= capacity), reverse=True):
+        i = bisect_left(rooms, n)
+        insort(rooms, (rooms.pop(i) if i < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1366, 4096), st.integers(1, 5), max_size=30))
+def test_large_pieces_are_matched(counts):
+    """Pieces over a third: as few bins as matching one by one, which is the least possible for them."""
+    assert packing.plan(counts, 4096)[1] == greedy_bins(counts, 4096)
+
+
+def test_last_piece_of_a_length_is_matched():
+    assert packing.plan({2000: 1, 1900: 1}, 4096)[1] == 1 and packing.plan({n: 1 for n in range(1366, 1966)}, 4096)[1] == 300
 
 
 def test_packed_documents(spark, sf_dir, documents):
@@ -204,7 +274,7 @@ def test_encoder_equals_the_tokenizer():
 
 
 def test_packing_tables(odd, empty):
-    rows = packing.pack(odd, tokenizer_path(), salts=2).collect()
+    rows = packing.pack(odd, tokenizer_path(), per_salt=1).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(d for d, _, _ in ODD)
     assert [r.length for r in rows if r.doc_id in (1, 2, 3)] == [1, 1, 1]
     assert packing.pack(empty, tokenizer_path()).count() == 0

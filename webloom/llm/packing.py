@@ -8,8 +8,8 @@ capacity are matched greedily, each bin taking at most two of them (the largest
 the largest that still fits); smaller ones, largest first, go to the tightest gap that
 takes them. Each step of the plan covers a range of ranks among the pieces of one
 length, so a piece finds its place from (length, rank) alone, without a shuffle of
-bins. Ranks come from counts per (length, salt) and a rank inside of each salt, so that
-no task gets all pieces of one length.
+bins. Ranks come from counts per (length, salt) and a rank inside of each salt; a length
+has as many salts as its pieces need, so that no task gets all pieces of one length.
 
 Defined results: a null or empty text is its end token alone; repeated rows get pieces
 of their own; ties are broken by id and piece; an empty table gives no pieces.
@@ -43,14 +43,25 @@ class Encoder:
     The tokenizer's normaliser folds white space and its pattern never crosses it, so a text's ids are those of its
     chunks in order; ASCII lower-casing before is what the normaliser does anyway. A chunk of letters followed by
     marks is encoded in two parts, as the pattern splits it there; many chunks of letters are encoded in one call,
-    as the token that ends each is one with the word-end suffix.
+    as the token that ends each is one with the word-end suffix. ASCII letters need no normaliser and no pattern; they
+    go to the bare model, if that agrees with the tokenizer on a probe.
+
+    The cache has two generations: when the young one holds ``keep`` chunks it becomes the old one, whose chunks come
+    back as they are met again.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, slice_bytes: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000, slice_bytes: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.slice_bytes, self.cache = Tokenizer.from_file(path), keep, slice_bytes, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.keep, self.slice_bytes = Tokenizer.from_file(path), keep, slice_bytes
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = "the quick unbelievably s t re ve m ll d xqzvkjw a internationalisation"
+        if self.bare.encode(probe, add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.bare = self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -60,10 +71,10 @@ class Encoder:
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
-    def _learn_letters(self, chunks: list[bytes]) -> None:
+    def _learn_letters(self, chunks: list[bytes], tokenizer) -> None:
         for at in range(0, len(chunks), 2000):
             some = chunks[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 raw, start = ids.tobytes(), 0
@@ -76,18 +87,19 @@ class Encoder:
     def _learn(self, chunks: set[bytes]) -> None:
         cache = self.cache
         split: dict[bytes, int] = {}  # where the marks begin
-        letters, other = set(), set()
+        plain, letters, other = set(), set(), set()
         for c in chunks:
             core = c.rstrip(_MARKS)
             if core.isalpha() or core and core.decode().lower().isalpha():
                 if core not in cache:
-                    letters.add(core)
+                    (plain if core.isalpha() else letters).add(core)  # bytes: of ASCII letters
                 if len(core) < len(c):
                     split[c] = len(core)
                     other.add(c[len(core) :])
             else:
                 other.add(c)
-        self._learn_letters(list(letters))
+        self._learn_letters(list(plain), self.bare)
+        self._learn_letters(list(letters), self.tokenizer)
         other = [c for c in other if c not in cache]
         cache.update(zip(other, self._ids(other), strict=True))
         for c, at in split.items():
@@ -107,10 +119,12 @@ class Encoder:
             known = set().union(*here)
             new = known.difference(self.cache)
             if len(self.cache) + len(new) > self.keep:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
                 new = known
-            self._learn(new)
+            again = new.intersection(self.old)
             cache = self.cache
+            cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            self._learn(new - again)
             for chunks in here:
                 yield b"".join([cache[c] for c in chunks]) + tail
 
@@ -196,11 +210,12 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Step], int]:
     for a in large:
         while left[a]:
             i = bisect_left(ascending, capacity - a + 1) - 1
-            while i >= 0 and not left[ascending[i]]:  # used up: fits no one later either
-                del ascending[i]
+            while i >= 0 and left[ascending[i]] <= (ascending[i] == a):
+                if not left[ascending[i]]:  # used up: fits no one later either
+                    del ascending[i]
                 i -= 1
             b = ascending[i] if i >= 0 else None
-            if b is None or b == a and left[a] == 1:
+            if b is None:
                 n = left[a]
                 place(a, n, bins, 1, 0)
                 gaps.put(capacity - a, bins, n)
@@ -244,12 +259,14 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Step], int]:
     return steps, bins
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = checkpointed(pieces(docs, tokenizer, capacity, end, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts))))
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", per_salt: int = 50_000) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. About ``per_salt`` pieces of one length are ranked together."""
+    spark = docs.sparkSession
+    unsalted = checkpointed(pieces(docs, tokenizer, capacity, end, id_col, text_col))
+    by_length = unsalted.groupBy("length").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))  # at most capacity rows
+    rows = unsalted.join(F.broadcast(by_length), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).select(*unsalted.columns, "salt")
     histogram = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most capacity * salts rows, whatever the corpus.
-    h = histogram.toArrow()
+    h = histogram.toArrow()  # at most capacity + pieces / per_salt rows
     length, salt, n = (h.column(c).to_numpy().astype(np.int64) for c in ("length", "salt", "n"))
     order = np.lexsort((salt, length))
     length, salt, n = length[order], salt[order], n[order]
@@ -261,7 +278,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None
     before = pa.table({"length": length, "salt": salt, "before": total - n - np.repeat(upto[:-1], np.diff(np.r_[first, len(n)]))})
     steps, _ = plan(counts, capacity)
     steps.sort()
-    spark = docs.sparkSession
     offsets = F.broadcast(spark.createDataFrame(before, "length long, salt long, before long"))
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start"))
     ranked = rows.withColumn("inside", inside).join(offsets, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).alias("rank"))
