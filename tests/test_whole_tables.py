@@ -10,8 +10,8 @@ def test_all_documents_and_links_are_processed(spark):
     d = "/root/testdata/sf0.01"  # more than 500 documents
     docs = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()}
     run = lambda name: registry.queries()[name](spark, d)
-    assert {f"https://s/{i}" for i in docs} <= {r.url for r in run("x8_search_ingestion_all").select("url").collect()}
-    assert {(r.source_id, r.url) for r in run("x4_consolidation_all").collect()} == {(i, f"https://n.example/{i % 50}") for i in docs}
+    assert {f"https://s/{i}" for i in docs} <= {r.url for r in run("x8_search_ingestion").select("url").collect()}
+    assert {(r.source_id, r.url) for r in run("x4_consolidation").collect()} == {(i, f"https://n.example/{i % 50}") for i in docs}
 
 
 def test_frontier_equals_breadth_first_search(spark, sf_dir):
@@ -25,7 +25,7 @@ def test_frontier_equals_breadth_first_search(spark, sf_dir):
     for i in (1, 2, 3):
         now = {b for a in now for b in links.get(a, ())} - set(depth)
         depth |= dict.fromkeys(now, i)
-    assert {r.id: r.depth for r in registry.queries()["r2_frontier_all"](spark, sf_dir).collect()} == depth
+    assert {r.id: r.depth for r in registry.queries()["r2_frontier"](spark, sf_dir).collect()} == depth
 
 
 @pytest.mark.parametrize("stemmed", [False, True])

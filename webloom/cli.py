@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.operators import images
 from webloom.workspace import Workspace
 
 #: object -> verb -> workspace method; a nested verb is joined by a space.
@@ -42,10 +43,17 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--terms", type=lambda t: t.split(","))
     p.add_argument("--as-of", type=datetime.fromisoformat)
     p.add_argument("--store", help="Parquet table of stored markup (url, html) for crawl")
+    p.add_argument("--payloads", help="Parquet table (url, seorank) for seorank")
+    p.add_argument("--answers", help="Parquet table (id, answer) for llm validate")
+    p.add_argument("--images", help="Parquet table of files (url, content) for medianalyse")
     p.add_argument("--dryrun", action="store_true", default=None)
     a = vars(p.parse_args(argv))
     spark = SparkSession.builder.appName("webloom").getOrCreate()
     store = a.pop("store")
+    plugs = {"payloads": lambda t: lambda pages: pages.join(t, "url").select("id", "seorank"), "answers": lambda t: lambda prompts: prompts.select("id").join(t, "id"), "images": images.of_store}
+    for name, plug in plugs.items():
+        if path := a.pop(name):
+            a["analyse" if name == "images" else name] = plug(spark.read.parquet(path))
     options = {k: v for k, v in a.items() if k not in ("root", "object", "verb")}
     out = dispatch(Workspace(spark, a["root"]), a["object"], " ".join(a["verb"]), fetch=spark.read.parquet(store) if store else None, **options)
     if isinstance(out, DataFrame):

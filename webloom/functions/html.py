@@ -171,6 +171,24 @@ def page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "description", "keywords", "lang", "readable", "links", "all_links", "media"])
 
 
+def website_title(title, domain):
+    """The title, or one made of the domain where there is none."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.concat(F.lit("Website: "), domain))
+
+
+def fetched_metadata(fetched):
+    """(id, http_status, title, description, keywords) of fetched pages (id, http_status, html); nulls where nothing was fetched."""
+    p = page(F.col("html"))
+    rows = fetched.select("id", "http_status", F.col("html").isNotNull().alias("have"), p.alias("p"))
+    return rows.select("id", "http_status", *[F.when(F.col("have"), F.col(f"p.{c}")).alias(c) for c in ("title", "description", "keywords")])
+
+
+def appended_media(content, media):
+    """An extractor's text with a line for each media item (an array of url, type) after it."""
+    mark = lambda m: F.when(m["type"] == "img", F.concat(F.lit("![IMAGE]("), m["url"], F.lit(")"))).otherwise(F.concat(F.lit("["), F.upper(m["type"]), F.lit(": "), m["url"], F.lit("]")))
+    return F.concat_ws("\n", F.concat(F.array(content), F.transform(F.coalesce(media, F.array().cast("array<struct<url:string,type:string>>")), mark)))
+
+
 def extracted(readable_text, fallback, least: int = 100):
     """The first of two texts with more than ``least`` characters, else the fallback."""
     return F.when(F.length(readable_text) > least, readable_text).otherwise(fallback)

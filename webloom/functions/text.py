@@ -54,6 +54,28 @@ def normalised(value: Column) -> Column:
     return F.when(v.isNull() | F.lower(v).isin("", "unknown"), F.lit("na")).otherwise(v)
 
 
+def normalised_value(value: Column, kind: T.DataType) -> Column:
+    """A value of any type as an export shows it: numbers as they are; lists and maps as JSON, empty ones as 'na'; the rest as ``normalised`` text."""
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(value.cast("string"), F.lit("na"))
+    if isinstance(kind, T.ArrayType | T.MapType):
+        return F.when(F.size(value) > 0, F.to_json(value)).otherwise(F.lit("na"))
+    if isinstance(kind, T.StructType):
+        return F.coalesce(F.to_json(value), F.lit("na"))
+    return normalised(value.cast("string"))
+
+
+def normalised_columns(df: DataFrame) -> DataFrame:
+    """All columns as an export shows them; columns of numbers keep their type and their nulls."""
+    return df.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, T.NumericType) else normalised_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def extractor_urls(payload: Column, field: str = "links") -> Column:
+    """The addresses of an extractor's JSON, whose items are texts or objects with a url; none if it is broken."""
+    items = F.from_json(F.get_json_object(payload, f"$.{field}"), "array<string>")
+    return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.url")).otherwise(x))
+
+
 def prompt(land: Column, land_text: Column, terms: Column, url: Column, title: Column, description: Column, readable: Column, most: int = 6000) -> Column:
     """A relevance question for one page with the land's terms (an array) and the readable text cut at ``most``."""
     part = lambda name, c: F.concat(F.lit(f"- {name}: "), F.coalesce(c, F.lit("")))

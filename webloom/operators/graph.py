@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.operators.persist import checkpointed
 from webloom.operators.worklists import relevant
 
 
@@ -16,6 +17,12 @@ def page_edges(links: DataFrame, kept: DataFrame) -> DataFrame:
     return out.where("source_domain_id <> target_domain_id").select("source_id", "source_domain_id", "target_id", "target_domain_id")
 
 
+def linked_pages(links: DataFrame, pages: DataFrame, columns: tuple[str, ...] = ("title",)) -> DataFrame:
+    """Links with columns of the pages at both ends."""
+    side = lambda x: pages.select(F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    return links.join(side("source"), "source_id").join(side("target"), "target_id")
+
+
 def semi_linked(links: DataFrame, kept: DataFrame) -> DataFrame:
     """Links of which both ends are kept."""
     ids = kept.select(F.col("id"))
@@ -54,6 +61,13 @@ def tag_counts(tagged: DataFrame, paths: DataFrame) -> DataFrame:
     return tagged.join(paths.select(F.col("id").alias("tag_id"), "path"), "tag_id").groupBy("expression_id", "path").agg(F.count("*").alias("n"))
 
 
+def ordered_tag_counts(tagged: DataFrame, paths: DataFrame, tags: DataFrame) -> DataFrame:
+    """The counts by page and path, by page and the tags' order (root tags first)."""
+    order = tags.select(F.col("id").alias("tag_id"), "parent_id", "sorting").join(paths.select(F.col("id").alias("tag_id"), "path"), "tag_id")
+    sums = tagged.join(order, "tag_id").groupBy("expression_id", "path").agg(F.count("*").alias("n"), F.min("parent_id").alias("parent_id"), F.min("sorting").alias("sorting"))
+    return sums.orderBy("expression_id", F.asc_nulls_first("parent_id"), "sorting", "path")
+
+
 def tag_matrix(counts: DataFrame, paths: DataFrame) -> DataFrame:
     """Pages by tag paths, 0 where there is no content; one column for each path in use, sorted."""
     names = [r["path"] for r in paths.select("path").distinct().orderBy("path").collect()]  # as many as columns
@@ -87,8 +101,6 @@ def frontier(seeds: DataFrame, links: DataFrame, most_depth: int = 3) -> DataFra
     level = reached
     for depth in range(1, most_depth + 1):
         step = links.join(level.select(F.col("id").alias("source_id")), "source_id").select(F.col("target_id").alias("id")).distinct()
-        level = step.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        if reached.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        level = checkpointed(step.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(level)
     return reached

@@ -77,6 +77,12 @@ def upserted(known: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return known.unionByName(new, allowMissingColumns=True)
 
 
+def first_snapshot(snapshots: DataFrame, key: str, value: str, at: str, preferred: Column) -> DataFrame:
+    """(key, value): each key's earliest snapshot among the preferred ones, else among all."""
+    best = F.min_by(F.when(preferred, F.col(value)), F.when(preferred, F.col(at)))
+    return snapshots.groupBy(key).agg(F.coalesce(best, F.min_by(value, at)).alias(value))
+
+
 def first_of(sources: Mapping[str, Column], least_chars: int = 0) -> list[Column]:
     """(value, source) of the first source that has a text of more than ``least_chars``."""
     ok = lambda c: F.length(c) > least_chars

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import text, vectors
+from webloom.operators.persist import checkpointed
 
 
 def split_pages(pages: DataFrame, least: int = 150, most: int = 6000) -> DataFrame:
@@ -44,7 +45,8 @@ def reset_embeddings(embedded: DataFrame, similarity: DataFrame, land_paragraphs
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Rows with batch_no from 1, by ``order``. Ranks come from sorted ranges and their sizes, not from one window over all rows."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    # Checkpointed: ranks and sizes must see one and the same dealing.
+    ranged = checkpointed(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
     ranged = ranged.withColumn("inside", inside)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.worklists import relevant
+from webloom.operators.worklists import kept_after_delete, relevant
 
 
 def tag_names(tagged: DataFrame, tags: DataFrame) -> DataFrame:
@@ -21,6 +21,24 @@ def page_report(pages: DataFrame, domains: DataFrame, tagged: DataFrame, tags: D
     return out.select("id", "url", "title", "relevance", "depth", "domain_id", "domain_name", "tags", *(["readable"] if readable else []))
 
 
+def with_domain(pages: DataFrame, domains: DataFrame) -> DataFrame:
+    """Pages with the name of their domain; pages of an unknown domain are left out."""
+    return pages.join(domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain_name")), "domain_id")
+
+
+def media_of(media: DataFrame, pages: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Media of the given pages, with columns of these."""
+    return media.join(pages.select(F.col("id").alias("expression_id"), *columns), "expression_id")
+
+
+def without_land(pages: DataFrame, land: int, most_relevance: int | None = None) -> DataFrame:
+    """Pages that are left when a land is deleted, or only its fetched pages under a relevance."""
+    gone = F.col("land_id") == land
+    if most_relevance is not None:
+        gone &= (F.col("relevance") < most_relevance) & F.col("fetched_at").isNotNull()
+    return kept_after_delete(pages, gone)
+
+
 def domain_report(pages: DataFrame, domains: DataFrame, land: int | None = None, minimum: int = 1) -> DataFrame:
     """Relevant pages and their mean relevance by domain."""
     sums = relevant(pages, land, minimum).groupBy("domain_id").agg(F.count("*").alias("expressions"), F.round(F.avg("relevance"), 2).alias("average_relevance"))

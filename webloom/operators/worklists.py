@@ -65,6 +65,16 @@ def kept_after_delete(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
+def deletable(rows: DataFrame, condition: Column) -> DataFrame:
+    """The dry run of ``kept_after_delete``: what it would take."""
+    return rows.where(F.coalesce(condition, F.lit(False)))
+
+
+def paged(rows: DataFrame, order: str, size: int, page: int) -> DataFrame:
+    """One page (from 0) of rows by a unique order."""
+    return rows.orderBy(order).offset(size * page).limit(size)
+
+
 def conforming_media(media: DataFrame, least_width: int = 0, least_height: int = 0, most_bytes: int = 0) -> DataFrame:
     """Whether each item has the least size and at most so many bytes (0: no limit); unknown figures count as 0."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -44,7 +44,7 @@ def t13(s, d):
 
 @register("t23_title_fallback", f"SELECT id, coalesce(nullif(title, ''), 'Website: w') AS title FROM {A.values_sql('id int, title string, description string, keywords string', META)}")
 def t23(s, d):
-    return t13(s, d).select("id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Website: w")).alias("title"))
+    return t13(s, d).select("id", html.website_title(F.col("title"), F.lit("w")).alias("title"))
 
 
 STRIPPED = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*?</footer>', '', 'g'), '(?s)<[^>]*>', ' ', 'g')"
@@ -128,9 +128,9 @@ def x1(s, d):
 
 @register("t3_t6_stemmed_relevance")
 def t6(s, d):
-    """Relevance over French stems (rows only: no stemmer in the oracle's engine)."""
-    terms = A.values(s, "land_id int, term string", [(1, "les enfants"), (1, "mentions"), (1, "dans")])
-    return relevance.relevance(A.DOCUMENT.frame(s, d).where("lang = 'fr'").select("id", F.col("domain").alias("title"), "readable"), relevance.dictionary(terms))
+    """Relevance of all documents over French stems (no stemmer in the oracle's engine; a test holds it against a plain loop)."""
+    terms = A.values(s, "land_id int, term string", [(1, "les enfants"), (1, "mentions"), (1, "dans"), (1, "de la")])
+    return relevance.relevance(A.DOCUMENT.frame(s, d).select("id", F.col("domain").alias("title"), "readable"), relevance.dictionary(terms))
 
 
 STEMS = [("enfants", "enfant"), ("continuellement", "continuel"), ("majestueusement", "majestu"), ("malheureusement", "malheur"), ("chevaux", "cheval"), ("nationalité", "national"), ("actives", "activ"), ("mains", "main")]
@@ -143,7 +143,7 @@ def t3(s, d):
 
 @register("j11_dictionary", f"SELECT DISTINCT term FROM {A.values_sql('land_id int, term string', TERMS)} WHERE land_id = 1")
 def j11(s, d):
-    return A.values(s, "land_id int, term string", TERMS).where("land_id = 1").select("term").distinct()
+    return relevance.land_terms(A.values(s, "land_id int, term string", TERMS), 1)
 
 
 @register("x1_gates", "SELECT d.doc_id AS id, CASE WHEN lang NOT IN ('fr', 'en') OR coalesce(l.quality, 1) = 0 THEN 0 ELSE 7 END AS relevance FROM documents d LEFT JOIN labels l USING (doc_id)")

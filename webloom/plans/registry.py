@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-MODULES = ("relational", "scalars", "content", "workflow")
+MODULES = ("relational", "scalars", "content", "workflow", "edges")
 
 
 def _load() -> None:

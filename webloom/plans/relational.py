@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.operators import graph, reports, worklists
+from webloom.operators import graph, merge, reports, worklists
 from webloom.plans.registry import register
 from webloom.sources import adapters as A
 
@@ -80,12 +80,12 @@ def f9(s, d):
 @register("f20_dry_run", f"SELECT id, relevance FROM {A.FETCH.sql} WHERE relevance < 3 AND fetched_at IS NOT NULL")
 def f20(s, d):
     """What the deletion would take, without taking it."""
-    return fetch(s, d).where((F.col("relevance") < 3) & F.col("fetched_at").isNotNull()).select("id", "relevance")
+    return worklists.deletable(fetch(s, d), (F.col("relevance") < 3) & F.col("fetched_at").isNotNull()).select("id", "relevance")
 
 
 @register("j1_page_domain", f"SELECT e.id, n.name FROM {A.PAGE.sql} e JOIN {A.DOMAIN.sql} n ON n.id = e.domain_id")
 def j1(s, d):
-    return pages(s, d).join(A.DOMAIN.frame(s, d).select(F.col("id").alias("domain_id"), "name"), "domain_id").select("id", "name")
+    return reports.with_domain(pages(s, d), A.DOMAIN.frame(s, d)).select("id", F.col("domain_name").alias("name"))
 
 
 TAGS_OF = f"(SELECT expression_id, string_agg(name, ',' ORDER BY name) AS tags FROM (SELECT DISTINCT tc.expression_id, t.name FROM {A.TAGGED.sql} tc JOIN {A.TAG_SQL} t ON t.id = tc.tag_id) GROUP BY expression_id)"
@@ -117,8 +117,7 @@ FROM {A.LINK_SQL} l JOIN {KEPT} a ON a.id = l.source_id JOIN {KEPT} b ON b.id =
 
 @register("j4_links_both_ends", f"SELECT l.source_id, a.title AS source_title, l.target_id, b.title AS target_title FROM {A.LINK_SQL} l JOIN {A.PAGE.sql} a ON a.id = l.source_id JOIN {A.PAGE.sql} b ON b.id = l.target_id")
 def j4(s, d):
-    side = lambda x: pages(s, d).select(F.col("id").alias(f"{x}_id"), F.col("title").alias(f"{x}_title"))
-    return A.links(s, d).join(side("source"), "source_id").join(side("target"), "target_id")
+    return graph.linked_pages(A.links(s, d), pages(s, d)).select("source_id", "source_title", "target_id", "target_title")
 
 
 @register("j7_semi_links", f"SELECT * FROM {A.LINK_SQL} WHERE source_id IN (SELECT id FROM {KEPT}) AND target_id IN (SELECT id FROM {KEPT})")
@@ -133,7 +132,7 @@ def x18(s, d):
 
 @register("x18_page_nodes", f"SELECT e.id, e.title, e.url, e.relevance, n.name AS domain_name FROM {KEPT} e JOIN {A.DOMAIN.sql} n ON n.id = e.domain_id")
 def x18n(s, d):
-    return worklists.relevant(pages(s, d), LAND).join(A.DOMAIN.frame(s, d).select(F.col("id").alias("domain_id"), F.col("name").alias("domain_name")), "domain_id").select("id", "title", "url", "relevance", "domain_name")
+    return reports.with_domain(worklists.relevant(pages(s, d), LAND), A.DOMAIN.frame(s, d)).select("id", "title", "url", "relevance", "domain_name")
 
 
 @register("a5_domain_edges", f"SELECT source_domain_id, target_domain_id, count(*) AS weight FROM ({EDGES}) GROUP BY ALL")
@@ -161,13 +160,12 @@ def a2(s, d):
 
 @register("a4_media_report", f"SELECT t.expression_id, t.text AS url, e.title FROM {A.TAGGED.sql} t JOIN {KEPT} e ON e.id = t.expression_id")
 def a4(s, d):
-    kept = worklists.relevant(pages(s, d), LAND).select(F.col("id").alias("expression_id"), "title")
-    return A.TAGGED.frame(s, d).join(kept, "expression_id").select("expression_id", F.col("text").alias("url"), "title")
+    return reports.media_of(A.TAGGED.frame(s, d), worklists.relevant(pages(s, d), LAND), ("title",)).select("expression_id", F.col("text").alias("url"), "title")
 
 
 @register("j10_media_by_land", f"SELECT t.expression_id, t.text FROM {A.TAGGED.sql} t JOIN {A.PAGE.sql} e ON e.id = t.expression_id WHERE e.land_id = 2")
 def j10(s, d):
-    return A.TAGGED.frame(s, d).join(pages(s, d).where("land_id = 2").select(F.col("id").alias("expression_id")), "expression_id").select("expression_id", "text")
+    return reports.media_of(A.TAGGED.frame(s, d), pages(s, d).where("land_id = 2")).select("expression_id", "text")
 
 
 PAIRS = f"""(SELECT p.source_paragraph, p.target_paragraph, a.id AS source_id, b.id AS target_id, a.domain_id AS source_domain, b.domain_id AS target_domain, p.score, coalesce(p.score_raw, p.score) AS confidence, p.method
@@ -272,20 +270,10 @@ def j9(s, d):
 
 @register(
     "r2_frontier",
-    f"""WITH RECURSIVE l AS (SELECT * FROM {A.LINK_SQL} WHERE source_id % 3 = 0), f(id, depth) AS (SELECT id, 0 FROM {A.PAGE.sql} WHERE id % 50 = 1 UNION SELECT l.target_id, f.depth + 1 FROM f JOIN l ON l.source_id = f.id WHERE f.depth < 3)
-    SELECT id, min(depth) AS depth FROM f GROUP BY id""",
-)
-def r2(s, d):
-    """Over the links that its SQL names; ``r2_frontier_all`` takes all."""
-    return graph.frontier(pages(s, d).where("id % 50 = 1"), A.links(s, d).where("source_id % 3 = 0"), 3)
-
-
-@register(
-    "r2_frontier_all",
     f"""WITH RECURSIVE l AS (SELECT DISTINCT source_id, target_id FROM {A.LINK_SQL}), f(id, depth) AS (SELECT id, 0 FROM {A.PAGE.sql} WHERE id % 50 = 1 UNION SELECT l.target_id, f.depth + 1 FROM f JOIN l ON l.source_id = f.id WHERE f.depth < 3)
     SELECT id, min(depth) AS depth FROM f GROUP BY id""",
 )
-def r2_all(s, d):
+def r2(s, d):
     """The frontier over all links."""
     return graph.frontier(pages(s, d).where("id % 50 = 1"), A.links(s, d), 3)
 
@@ -297,7 +285,7 @@ def o8(s, d):
 
 @register("o7_paging", f"SELECT id FROM {A.FETCH.sql} ORDER BY id LIMIT 25 OFFSET 50")
 def o7(s, d):
-    return fetch(s, d).orderBy("id").offset(50).limit(25).select("id")
+    return worklists.paged(fetch(s, d), "id", 25, 2).select("id")
 
 
 @register("w5_w6_batches", f"SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 1000) AS BIGINT) + 1 AS batch_no FROM {A.FETCH.sql}")
@@ -310,9 +298,7 @@ def w5(s, d):
 @register("src6_first_snapshot", "SELECT user_id, coalesce(min_by(event_id, ts) FILTER (WHERE event_type = 'view'), min_by(event_id, ts)) AS event_id FROM events GROUP BY user_id")
 def src6(s, d):
     """The earliest snapshot, of the preferred status if there is one."""
-    e = A.table(s, d, "events")
-    preferred = F.min_by(F.when(F.col("event_type") == "view", F.col("event_id")), F.when(F.col("event_type") == "view", F.col("ts")))
-    return e.groupBy("user_id").agg(F.coalesce(preferred, F.min_by("event_id", "ts")).alias("event_id"))
+    return merge.first_snapshot(A.table(s, d, "events"), "user_id", "event_id", "ts", F.col("event_type") == "view")
 
 
 @register("st1_daily_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions import text
-from webloom.operators import graph, media, merge, paragraphs, relevance
+from webloom.operators import graph, media, merge, paragraphs, relevance, reports
 from webloom.plans.registry import register
 from webloom.sources import adapters as A
 
@@ -78,38 +78,21 @@ def x15(s, d):
     return relevance.judged(pages, answers).select("id", "validllm", "relevance")
 
 
-def _x8(s, known, d):
-    known = known.select(
-        F.lit(1).alias("land_id"), F.concat(F.lit("https://s/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("title"), F.lit("2024-01-10").cast("timestamp_ntz").alias("published_at")
-    )
-    results = A.table(s, d, "events").select(F.lit(1).alias("land_id"), F.concat(F.lit("https://s/"), F.col("event_id") % 700).alias("url"), F.col("event_type").alias("title"), F.col("event_id").alias("position"), F.col("ts").alias("published_at"))
-    return merge.ingest(known, results).select("url", "title", "published_at", "action")
-
-
 @register(
     "x8_search_ingestion",
-    """WITH k AS (SELECT doc_id, 'https://s/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS title, TIMESTAMP '2024-01-10' AS published_at FROM documents WHERE doc_id < 500),
-    r AS (SELECT 'https://s/' || (event_id % 700) AS url, min_by(event_type, event_id) AS r_title, min(ts) AS r_date FROM events GROUP BY 1)
-    SELECT coalesce(k.url, r.url) AS url, CASE WHEN coalesce(k.title, '') = '' THEN coalesce(r.r_title, k.title) ELSE k.title END AS title, least(k.published_at, r.r_date) AS published_at,
-      CASE WHEN k.url IS NULL THEN 'new' WHEN (CASE WHEN k.title = '' THEN coalesce(r.r_title, '') ELSE k.title END) = k.title AND least(k.published_at, r.r_date) = k.published_at THEN 'skipped' ELSE 'updated' END AS action
-    FROM k FULL JOIN r ON r.url = k.url""",
-)
-def x8(s, d):
-    """Known pages are those that its SQL names; ``x8_search_ingestion_all`` takes all."""
-    return _x8(s, A.table(s, d, "documents").where("doc_id < 500"), d)
-
-
-@register(
-    "x8_search_ingestion_all",
     """WITH k AS (SELECT doc_id, 'https://s/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS title, TIMESTAMP '2024-01-10' AS published_at FROM documents),
     r AS (SELECT 'https://s/' || (event_id % 700) AS url, min_by(event_type, event_id) AS r_title, min(ts) AS r_date FROM events GROUP BY 1)
     SELECT coalesce(k.url, r.url) AS url, CASE WHEN coalesce(k.title, '') = '' THEN coalesce(r.r_title, k.title) ELSE k.title END AS title, least(k.published_at, r.r_date) AS published_at,
       CASE WHEN k.url IS NULL THEN 'new' WHEN (CASE WHEN k.title = '' THEN coalesce(r.r_title, '') ELSE k.title END) = k.title AND least(k.published_at, r.r_date) = k.published_at THEN 'skipped' ELSE 'updated' END AS action
     FROM k FULL JOIN r ON r.url = k.url""",
 )
-def x8_all(s, d):
-    """All documents are known pages."""
-    return _x8(s, A.table(s, d, "documents"), d)
+def x8(s, d):
+    """All documents are known pages, all events search results."""
+    known = A.table(s, d, "documents").select(
+        F.lit(1).alias("land_id"), F.concat(F.lit("https://s/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("title"), F.lit("2024-01-10").cast("timestamp_ntz").alias("published_at")
+    )
+    results = A.table(s, d, "events").select(F.lit(1).alias("land_id"), F.concat(F.lit("https://s/"), F.col("event_id") % 700).alias("url"), F.col("event_type").alias("title"), F.col("event_id").alias("position"), F.col("ts").alias("published_at"))
+    return merge.ingest(known, results).select("url", "title", "published_at", "action")
 
 
 @register("j15_upsert", "SELECT DISTINCT source AS name FROM documents UNION SELECT n_name FROM nation")
@@ -132,28 +115,21 @@ def x24(s, d):
     return media.without_media(items, gone, "BUILDING").select("expression_id", F.col("type").alias("text"))
 
 
-@register("x22_land_delete", f"SELECT id FROM {A.PAGE.sql} WHERE land_id <> 2")
+@register("x22_land_delete", f"SELECT id FROM {A.FETCH.sql} WHERE NOT coalesce(land_id = 2 AND relevance < 3 AND fetched_at IS NOT NULL, FALSE)")
 def x22(s, d):
-    return A.PAGE.frame(s, d).where("land_id <> 2").select("id")
+    """Of one land the fetched pages of little relevance go; what is unknown stays."""
+    return reports.without_land(A.FETCH.frame(s, d), 2, 3).select("id")
 
 
-@register(
-    "x4_consolidation",
-    """SELECT source_id, url FROM (SELECT doc_id AS source_id, 'https://n.example/' || (doc_id % 50) AS url FROM documents WHERE doc_id % 3 = 0)""",
-)
-def x4(s, d):
-    """Links rebuilt from the stored readable text of pages; here a Markdown link is put into every third, as in its SQL. ``x4_consolidation_all`` takes all pages."""
-    return _x4(A.DOCUMENT.frame(s, d).where("id % 3 = 0"))
+@register("x22_whole_land_delete", f"SELECT id FROM {A.PAGE.sql} WHERE land_id <> 2")
+def x22w(s, d):
+    return reports.without_land(A.PAGE.frame(s, d), 2).select("id")
 
 
-@register("x4_consolidation_all", "SELECT doc_id AS source_id, 'https://n.example/' || (doc_id % 50) AS url FROM documents")
-def x4_all(s, d):
-    """The same on all pages."""
-    return _x4(A.DOCUMENT.frame(s, d))
-
-
-def _x4(docs):
-    docs = docs.withColumn("readable", F.concat(F.lit("x [y](https://n.example/"), F.col("id") % 50, F.lit(")")))
+@register("x4_consolidation", "SELECT doc_id AS source_id, 'https://n.example/' || (doc_id % 50) AS url FROM documents")
+def x4(s, d):
+    """Links rebuilt from the stored readable text of all pages; here a Markdown link is put into each."""
+    docs = A.DOCUMENT.frame(s, d).withColumn("readable", F.concat(F.lit("x [y](https://n.example/"), F.col("id") % 50, F.lit(")")))
     found = docs.select(F.col("id").alias("source_id"), F.lit(1).alias("land_id"), F.lit(7).alias("depth"), F.explode(text.md_links(F.col("readable"))).alias("url"))
     return graph.discovered(found, docs.select(F.lit(1).alias("land_id"), "url"), most_depth=None)[1].select("source_id", "url")
 
@@ -172,9 +148,7 @@ ITEMS = [(1, '{"links":["https://a.org/x",{"url":"https://b.org/y"}]}'), (2, "br
 @register("x27_extractor_items", f"SELECT id, url FROM {A.values_sql('id int, url string', [(1, 'https://a.org/x'), (1, 'https://b.org/y')])}")
 def x27(s, d):
     """Links of an extractor's JSON, as strings or as objects."""
-    items = F.from_json(F.get_json_object("j", "$.links"), "array<string>")
-    rows = A.values(s, "id int, j string", ITEMS).select("id", F.explode(items).alias("x"))
-    return rows.select("id", F.when(F.col("x").startswith("{"), F.get_json_object("x", "$.url")).otherwise(F.col("x")).alias("url"))
+    return A.values(s, "id int, j string", ITEMS).select("id", F.explode(text.extractor_urls(F.col("j"))).alias("url"))
 
 
 @register("snk6_gexf_edges", f"SELECT source_id || '_' || target_id AS id, CAST(source_id AS VARCHAR) AS source, CAST(target_id AS VARCHAR) AS target, '1' AS weight FROM {A.LINK_SQL}")

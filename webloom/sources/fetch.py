@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Fetched(NamedTuple):
@@ -62,6 +63,36 @@ def ladder(*fetchers: Fetcher) -> Fetcher:
     return run
 
 
+#: An extractor gets a URL and markup and answers with a record (title, content, published_at, payload), or None; it may raise.
+Extractor = Callable[[str, str], dict | None]
+EXTRACTED = ("title", "content", "published_at", "payload")
+
+
+def extracted(pages: DataFrame, extract: Extractor) -> DataFrame:
+    """(id, title, content, published_at, payload, error) of pages (id, url, html) by an external extractor, run by the executors."""
+
+    def one(url: str | None, html: str | None) -> dict:
+        if html is None:
+            return {"error": "no markup"}
+        try:
+            return extract(url or "", html) or {"error": "no answer"}
+        except Exception as e:
+            return {"error": str(e)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [one(u, h) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g.get(c) for g in got], pa.string()) for c in (*EXTRACTED, "error"))], names=["id", *EXTRACTED, "error"])
+
+    rows = pages.select("id", "url", "html")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{c} string' for c in (*EXTRACTED, 'error'))}")
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """(url) of a text file with one address a line; blank lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
+
+
 def fetched(pages: DataFrame, fetch: Fetcher) -> DataFrame:
     """(id, http_status, html) of pages (id, url), fetched by the executors."""
 
@@ -75,7 +106,5 @@ def fetched(pages: DataFrame, fetch: Fetcher) -> DataFrame:
 
 def stored(pages: DataFrame, store: DataFrame) -> DataFrame:
     """The same from a table of stored markup (url, html): pages that are not in it get status 404."""
-    from pyspark.sql import functions as F
-
     s = store.select("url", "html").dropDuplicates(["url"])
     return pages.select("id", "url").join(s, "url", "left").select("id", F.when(F.col("html").isNotNull(), "200").otherwise("404").alias("http_status"), "html")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
@@ -79,13 +80,18 @@ def corpus(pages: DataFrame, base: str, size: int = 1000, legacy: bool = False)
 
 
 def save_binary(files: DataFrame, folder: str) -> int:
-    """Write (archive, content) rows to a local folder, one at a time."""
+    """Write (archive, content) rows as files of a folder that all executors share; the tasks write, and a repeated task writes the same file again. The number of files."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for r in files.toLocalIterator():
-        (Path(folder) / r["archive"]).write_bytes(r["content"])
-        n += 1
-    return n
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = Path(folder) / f".{name}.{uuid.uuid4().hex}"
+                part.write_bytes(content)
+                part.replace(Path(folder) / name)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("archive", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def raw_pages(pages: DataFrame, path: str) -> None:

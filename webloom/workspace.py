@@ -267,7 +267,7 @@ class Workspace:
         due = worklists.limited(all_d.where(F.col("fetched_at").isNull() if http is None else F.col("http_status") == http).orderBy("id"), limit)
         got = fetching.fetched(due.select("id", F.concat(F.lit("https://"), "name").alias("url")), fetch).select("id", F.col("http_status").alias("s"), html.page(F.col("html")).alias("p"))
         out = all_d.join(got, "id", "left")
-        out = out.withColumn("title", F.when(F.col("s").isNotNull(), F.coalesce(F.nullif("p.title", F.lit("")), F.concat(F.lit("Website: "), "name"))).otherwise(F.col("title")))
+        out = out.withColumn("title", F.when(F.col("s").isNotNull(), html.website_title(F.col("p.title"), F.col("name"))).otherwise(F.col("title")))
         out = out.withColumn("description", F.coalesce("p.description", "description")).withColumn("keywords", F.coalesce("p.keywords", "keywords"))
         out = out.withColumn("fetched_at", F.when(F.col("s").isNotNull(), F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("fetched_at"))).withColumn("http_status", F.coalesce("s", "http_status"))
         n = due.count()
@@ -296,7 +296,7 @@ class Workspace:
         return due.count()
 
     def land_medianalyse(self, name: str, analyse: Callable[[DataFrame], DataFrame], as_of: datetime, minrel: int = 0, depth: int | None = None) -> int:
-        """Figures of a land's images. ``analyse``: media (expression_id, url) -> the same with figures."""
+        """Figures of a land's images. ``analyse``: media (expression_id, url) -> the same with figures, such as ``images.of_store`` makes from stored files."""
         land = self.land_id(name)
         pages = self.table("expression").where((F.col("land_id") == land) & (F.coalesce("relevance", F.lit(0)) >= minrel))
         pages = pages if depth is None else pages.where(F.col("depth") == depth)
