@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,34 @@ def text_bytes(column: pa.Array, rows: int = 200) -> Iterator[bytes | None]:
         yield from column.slice(at, rows).cast(pa.binary()).to_pylist()
 
 
-def columns(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[pa.Array, list[bytes | None]]:
-    """The id column as it is and the texts as UTF-8 bytes, without decoding."""
-    return batch.column(id_col), batch.column(text_col).cast(pa.binary()).to_pylist()
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
-def record_batches(rows: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One record batch of column lists."""
-    yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+def release_memory() -> None:
+    """Give memory that is not in use back to the system: workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after_bytes: int = 16_000_000):
+    """``run`` for mapInArrow, releasing memory after so many bytes of input and at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            seen = 0
+            for b in batches:
+                seen += b.nbytes
+                yield b
+                if seen >= after_bytes:
+                    del b
+                    release_memory()
+                    seen = 0
+
+        yield from run(each())
+        release_memory()
+
+    return tidied

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WordHashes, broadcast_if_small, checkpointed, shingles, text_bytes, word_bytes
+from webloom.llm.common import WordHashes, broadcast_if_small, checkpointed, shingles, text_bytes, tidy, word_bytes
 from webloom.llm.components import connected_components
 
 #: Words (64 bits) of the largest bitmap.
@@ -141,7 +141,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 
     long = T.LongType()
     schema = T.StructType([T.StructField("kind", T.ByteType()), docs.schema["id"], T.StructField("a", long), T.StructField("b", long), T.StructField("n", long), T.StructField("map", T.BinaryType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _entries(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray,
         if keys:
             yield taken()
 
-    return docs.mapInArrow(run, "key long, place long, a long")
+    return docs.mapInArrow(tidy(run), "key long, place long, a long")
 
 
 def _merge(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -361,7 +361,7 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
                         seen.add(name)
                         yield batch(1, np.full(len(block), name), block, np.ones(len(block), np.int64))
 
-    rows = entries.repartition(F.col("key")).sortWithinPartitions("key", "place", "a").mapInArrow(run, "kind byte, x long, y long, least long")
+    rows = entries.repartition(F.col("key")).sortWithinPartitions("key", "place", "a").mapInArrow(tidy(run), "kind byte, x long, y long, least long")
     return rows.groupBy("kind", "x", "y").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("kind = 1 OR n >= least").select("kind", "x", "y")
 
 
@@ -413,7 +413,7 @@ def _kept_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
                 keep[i] = np.bitwise_count(p ^ q).sum(dtype=np.int64) <= most[i]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["a", "b"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def _kept_blocks(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -430,7 +430,7 @@ def _kept_blocks(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
                 found.append((a[own], a[label[own]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return members.repartition(F.col("block")).sortWithinPartitions("block", "n", "a").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition(F.col("block")).sortWithinPartitions("block", "n", "a").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -453,7 +453,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def _columns(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "tokens"])
 
-    return docs.mapInArrow(run, "a long, b long, tokens binary")
+    return docs.mapInArrow(tidy(run), "a long, b long, tokens binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -518,7 +518,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([reps.take(pa.array([f[i] for f in found], pa.int64())) for i in (0, 1)], names=["a", "b"])
 
     rows = members.repartition(F.col("cell")).sortWithinPartitions("cell", "rep").select("cell", "rep", "tokens")
-    return rows.mapInArrow(run, T.StructType([T.StructField("a", rep), T.StructField("b", rep)]))
+    return rows.mapInArrow(tidy(run), T.StructType([T.StructField("a", rep), T.StructField("b", rep)]))
 
 
 def _cells(groups: DataFrame, reps: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import broadcast_if_small, checkpointed
+from webloom.llm.common import broadcast_if_small, checkpointed, tidy
 from webloom.llm.extract import main_text
 
 #: Buckets of hashed n-grams.
@@ -69,7 +69,7 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
-    rows = known.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * BUCKETS
+    rows = known.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * BUCKETS
     names = rows.column("lang").to_pylist()
     langs = sorted(set(names))
     table = np.full((len(langs), BUCKETS), 0.5)
@@ -120,7 +120,7 @@ def _evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in (hosts, domains, declared, address)), pa.array([x.tolist() for x in ll], pa.list_(pa.float64()))], names=["id", "url", "host", "domain", "declared", "address", "ll"])
 
     schema = T.StructType([pages.schema["id"], pages.schema["url"], *(T.StructField(c, T.StringType()) for c in ("host", "domain", "declared", "address")), T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)
 
 
 def _normalised(weights: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import text_bytes
+from webloom.llm.common import text_bytes, tidy
 
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -315,7 +315,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 f["spans"] = [{"label": x, "kind": kind, "start": s, "end": e} for x, kind, s, e in f["spans"]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[n] for f in found], t) for n, t in zip(names, _ARROW, strict=True))], names=["id", *names])
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["id"], *SCHEMA])).withColumnRenamed("id", id_col)
+    return kept.mapInArrow(tidy(run), T.StructType([kept.schema["id"], *SCHEMA])).withColumnRenamed("id", id_col)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

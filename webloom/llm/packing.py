@@ -26,11 +26,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import checkpointed
+from webloom.llm.common import checkpointed, tidy
 
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 #: Characters that the pattern of the tokenizer keeps together and that no contraction or letter touches.
@@ -38,7 +39,7 @@ _MARKS = b".,;:!?*&%$#|<>()[]{}-_=+/\\\"@~^`"
 
 
 class Encoder:
-    """Token ids as little-endian bytes, by a cache of white-space separated chunks.
+    """Token ids by a cache of white-space separated chunks.
 
     The tokenizer's normaliser folds white space and its pattern never crosses it, so a text's ids are those of its
     chunks in order; ASCII lower-casing before is what the normaliser does anyway. A chunk of letters followed by
@@ -50,7 +51,7 @@ class Encoder:
     back as they are met again.
     """
 
-    def __init__(self, path: str, keep: int = 350_000, slice_bytes: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000, slice_bytes: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -105,28 +106,41 @@ class Encoder:
         for c, at in split.items():
             cache[c] = cache[c[:at]] + cache[c[at:]]
 
-    def encode(self, texts: list[bytes | None], end: int | None) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes, with the id ``end`` after."""
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks, learnt where they are not known."""
+        known = set(chunks)
+        new = known.difference(self.cache)
+        if len(self.cache) + len(new) > self.keep:
+            self.old, self.cache = self.cache, {}
+            new = known
+        again = new.intersection(self.old)
+        cache = self.cache
+        cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self._learn(new - again)
+        return [cache[c] for c in chunks]
+
+    def encode(self, texts: pa.Array, end: int | None) -> Iterator[np.ndarray]:
+        """Ids of each text (a string array; null: empty), with the id ``end`` after."""
+        tail = np.array([] if end is None else [end], "<u4")
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
-            here, size = [], 0
-            while at < len(texts) and size < self.slice_bytes:
-                t = texts[at]
-                here.append(t.lower().split() if t else [])
-                size += len(t or b"")
-                at += 1
-            known = set().union(*here)
-            new = known.difference(self.cache)
-            if len(self.cache) + len(new) > self.keep:
-                self.old, self.cache = self.cache, {}
-                new = known
-            again = new.intersection(self.old)
-            cache = self.cache
-            cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            self._learn(new - again)
-            for chunks in here:
-                yield b"".join([cache[c] for c in chunks]) + tail
+        while at < len(texts):  # a slice at a time; its distinct chunks are looked up once
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.slice_bytes)))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, stop - at)))
+            coded = lists.flatten().dictionary_encode()
+            found = self._found(coded.dictionary.cast(pa.binary()).to_pylist())
+            flat = np.frombuffer(b"".join(found), "<u4")
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            starts = np.cumsum(lengths) - lengths
+            codes = coded.indices.to_numpy()
+            n = lengths[codes]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+            of_text = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            edges = np.r_[0, ends][np.r_[0, of_text]].tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield np.concatenate([ids[a:b], tail])
+            at = stop
 
 
 @lru_cache(maxsize=2)
@@ -138,23 +152,23 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder(tokenizer).encode(b.column(1).cast(pa.binary()).to_pylist(), end)):
-                for k, s in enumerate(range(0, len(ids), width)):
-                    part = ids[s : s + width]
+            for i, ids in enumerate(encoder(tokenizer).encode(b.column(1).cast(pa.string()), end)):
+                for k, s in enumerate(range(0, len(ids), capacity)):
+                    part = ids[s : s + capacity]
                     at.append(i)
                     piece.append(k)
-                    start.append(s // 4)
-                    length.append(len(part) // 4)
+                    start.append(s)
+                    length.append(len(part))
                     crc.append(zlib.crc32(part))
             arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32"])
+        encoder(tokenizer).old = {}  # what the next task begins with is the young generation
 
-    return rows.mapInArrow(run, PIECES.format(id=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(tidy(run), PIECES.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 class Step(NamedTuple):
@@ -293,4 +307,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(x[:, 3] + r // x[:, 4]), pa.array(x[:, 5] + (r % x[:, 4]) * length)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = T.StructType([*ranked.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(tidy(place), schema).withColumnRenamed("id", id_col)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.common import tidy
+
 KINDS = ("assign", "access", "hex", "entropy")
 
 # The patterns of the base kinds. ``access`` and ``hex`` state the least
@@ -172,7 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["id", "base_spans", "spans"])
 
     schema = T.StructType([kept.schema["id"], T.StructField("base_spans", T.ArrayType(SPAN)), T.StructField("spans", T.ArrayType(SPAN))])
-    return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return kept.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -198,4 +200,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rule
             arrays[at] = pa.array([redacted(t, mark, rules) for t in texts.to_pylist()], texts.type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
