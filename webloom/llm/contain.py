@@ -10,9 +10,9 @@ pair is missed with a probability of about 1e-5 at most. Each pair found is veri
 exact containment: the share of the item's distinct shingles that the whole document
 holds.
 
-The items are the query set. They are read in blocks of a bounded number of words, each
-block is broadcast, and the documents are scanned once for each block; nothing of the
-documents is shuffled or gathered.
+The items are the query set. They are read in blocks of a bounded number of characters;
+the index of a block is built once, on the driver, and broadcast, and the documents are
+scanned once for each block; nothing of the documents is shuffled or gathered.
 
 Defined results: null and empty texts hold nothing and are contained in nothing; an item
 with fewer words than a shingle is contained only in a document of the same words;
@@ -31,20 +31,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WordHashes, shingles
+from webloom.llm.common import WordHashes, shingles, text_bytes, tidy
 from webloom.llm.licenses import license_words
 
 #: Shingles of documents that are worked on at once.
 CHUNK = 1_000_000
 
 
+@dataclass
+class Minima:
+    """Sorted minima of items under one permutation, the items, and which leading bits occur among them."""
+
+    values: np.ndarray
+    items: np.ndarray
+    shift: np.uint64
+    known: np.ndarray
+
+    @classmethod
+    def of(cls, low: np.ndarray, members: np.ndarray) -> Minima:
+        order = np.argsort(low)
+        bits = min(18, max(12, len(low).bit_length() + 6))
+        shift = np.uint64(64 - bits)
+        known = np.zeros(1 << bits, bool)
+        known[low >> shift] = True
+        return cls(low[order], members[order], shift, known)
+
+    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of the windows whose minimum is an item's."""
+        place = np.flatnonzero(self.known[windows >> self.shift])  # few are left to be looked up
+        left, right = np.searchsorted(self.values, windows[place], "left"), np.searchsorted(self.values, windows[place], "right")
+        counts = right - left
+        at = np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.repeat(place, counts), self.items[at]
+
+
 @dataclass
 class SizeClass:
-    """Items of similar size: window stride and width in shingles, and for each permutation the sorted minima with their items."""
+    """Items of similar size: window stride and width in shingles, and their minima under each permutation."""
 
     stride: int  # a multiple of the least stride of all classes
     blocks: int  # strides in a window
-    minima: list[tuple[np.ndarray, np.ndarray]]
+    minima: list[Minima]
 
 
 def permutations(n: int) -> np.ndarray:
@@ -63,11 +90,7 @@ def size_classes(sets: list[np.ndarray], n_permutations: int) -> list[SizeClass]
     for members in by.values():
         sizes = [len(sets[i]) for i in members]
         stride = max(1, min(sizes) // 2 // least) * least
-        minima = []
-        for a in permutations(n_permutations):
-            low = np.array([(sets[i] * a).min() for i in members], np.uint64)
-            order = np.argsort(low)
-            minima.append((low[order], np.array(members)[order]))
+        minima = [Minima.of(np.array([(sets[i] * a).min() for i in members], np.uint64), np.array(members)) for a in permutations(n_permutations)]
         out.append(SizeClass(stride, -(-(max(sizes) + stride - 1) // stride), minima))
     return out
 
@@ -80,12 +103,8 @@ def candidates(low: np.ndarray, least: int, c: SizeClass, permutation: int) -> t
     for step in range(1, c.blocks):
         if step < len(low):
             np.minimum(windows[:-step], low[step:], out=windows[:-step])
-    values, items = c.minima[permutation]
-    left, right = np.searchsorted(values, windows, "left"), np.searchsorted(values, windows, "right")
-    hit = np.flatnonzero(right > left)
-    counts = right[hit] - left[hit]
-    at = np.repeat(left[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.repeat(hit, counts) * c.stride, items[at]
+    place, items = c.minima[permutation].find(windows)
+    return place * c.stride, items
 
 
 class ItemIndex:
@@ -124,11 +143,11 @@ class ItemIndex:
 
 
 def _search_block(docs: DataFrame, index_words: list[list[bytes]], item_ids: list, item_type: T.StructField, k: int, percent: int, n_permutations: int) -> DataFrame:
-    shared_items = docs.sparkSession.sparkContext.broadcast((index_words, item_ids))
+    shared_items = docs.sparkSession.sparkContext.broadcast((ItemIndex(index_words, k, percent, n_permutations), item_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids = shared_items.value
-        index, hashes = ItemIndex(words, k, percent, n_permutations), WordHashes()
+        index, ids = shared_items.value
+        hashes = WordHashes()
         arrow_id = None
 
         def flush(held: list, documents: list[np.ndarray]) -> pa.RecordBatch:
@@ -142,7 +161,7 @@ def _search_block(docs: DataFrame, index_words: list[list[bytes]], item_ids: lis
         held, documents, size = [], [], 0
         for b in batches:
             arrow_id = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for key, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
                 s = shingles(hashes.array(license_words(text)), k)
                 if len(s):
                     held.append(key)
@@ -156,7 +175,7 @@ def _search_block(docs: DataFrame, index_words: list[list[bytes]], item_ids: lis
             yield out
 
     schema = T.StructType([docs.schema["id"], T.StructField("item", item_type.dataType), T.StructField("n_shingles", T.LongType()), T.StructField("n_shared", T.LongType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def contained_items(
