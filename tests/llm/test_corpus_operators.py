@@ -1,6 +1,8 @@
 """Operators over many documents, and the pipeline, against brute force and edge cases."""
 
 import re
+import tracemalloc
+import zlib
 from collections import Counter, defaultdict
 from hashlib import md5
 from itertools import combinations
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import contain, jaccard, quality, warc
+from webloom.llm import contain, jaccard, quality, secrets, warc
 from webloom.llm.common import shingles
 from webloom.llm.components import connected_components
 
@@ -64,8 +66,10 @@ def test_links_equal_brute_force(documents, k, percent):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(sets[d]), expected[d]) for d in sets}
 
 
-def test_chains_and_frequent_tokens(spark, monkeypatch):
-    """Families of variants that link in chains, all of frequent tokens, in small blocks."""
+@pytest.mark.parametrize("cell", [100, 10**6])
+def test_chains_and_frequent_tokens(spark, monkeypatch, cell):
+    """Families of variants that link in chains, all of frequent tokens, with groups whole and in small cells."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 3)
     monkeypatch.setattr(jaccard, "COUNT_LEAST", 1)
     r = np.random.default_rng(3)
@@ -103,11 +107,63 @@ def test_block_answers_are_derived_exactly():
 
 def test_chunks_cover_all_compatible_pairs():
     r = np.random.default_rng(7)
-    sizes = sorted(int(x) for x in r.integers(50, 80, 37))
-    covered = {p for block in jaccard.chunked(list(range(37)), sizes, 90, most=10) for p in combinations(sorted(block), 2)}
+    sizes = np.sort(r.integers(50, 80, 37))
+    covered = {p for block in jaccard.chunked(np.arange(37), sizes, 90, most=10) for p in combinations(sorted(block.tolist()), 2)}
     assert {(i, j) for i, j in combinations(range(37), 2) if 10 * sizes[i] >= 9 * sizes[j]} <= covered
 
 
+def test_prefixes_share_enough_tokens():
+    """What the index relies on: linked sets meet so often in their prefixes, and the bitmaps do not part them."""
+    r = np.random.default_rng(9)
+    for percent in (50, 80, 90):
+        for _ in range(300):
+            common = r.integers(0, 2**63, int(r.integers(1, 400))).astype(np.uint64)
+            x, y = (np.unique(np.concatenate([common, r.integers(0, 2**63, int(r.integers(0, 1 + len(common) // 4))).astype(np.uint64)])) for _ in range(2))
+            if 100 * len(np.intersect1d(x, y)) < percent * len(np.union1d(x, y)):
+                continue
+            px, py = (s[: jaccard.prefix_length(percent, len(s))] for s in (x, y))
+            assert len(np.intersect1d(px, py)) >= jaccard.shared_least(min(len(x), len(y)))
+            x, y = sorted((x, y), key=len)
+            assert jaccard.sift(np.array([len(x), len(y)]), [jaccard.bitmap(x), jaccard.bitmap(y)], percent).tolist() == [0, 0]
+
+
+def test_lists_give_all_compatible_pairs():
+    """Pairs of short lists, and blocks of long ones, against all pairs of entries."""
+    r = np.random.default_rng(12)
+    for short in (0, 10**6):
+        key = np.sort(r.integers(0, 30, 600))
+        n = r.integers(5, 60, 600)
+        pos = (r.random(600) * n * 0.4).astype(np.int64)
+        order = np.lexsort((pos, n, key))
+        key, n, pos, visitor = key[order], n[order], pos[order], r.random(600) < 0.2
+        left, right, first = jaccard.list_candidates(key, n, pos, visitor, 80, short)
+        room = lambda i, j: min(pos[i], pos[j]) + min(n[i] - pos[i], n[j] - pos[j])  # noqa: B023, E731
+        pairs = {(i, j) for i, j in combinations(range(600), 2) if key[i] == key[j] and 100 * n[i] >= 80 * n[j] and room(i, j) >= jaccard.needed(80, n[i], n[j]) and not (visitor[i] and visitor[j])}
+        if short:
+            assert set(zip(left.tolist(), right.tolist(), strict=True)) == pairs
+        else:
+            expected = brute_groups(600, pairs)
+            assert not len(left) and first.tolist() == [expected[i] for i in range(600)]
+
+
+def brute_groups(n, pairs):
+    parent = list(range(n))
+    for i, j in pairs:
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    return parent
+
+
+def test_a_long_list_takes_no_square_memory():
+    """10,000 near copies in one list: no pairs are kept."""
+    n = np.sort(np.random.default_rng(1).integers(500, 520, 10_000))
+    tracemalloc.start()
+    left, right, first = jaccard.list_candidates(np.zeros(10_000, np.int64), n, np.zeros(10_000, np.int64), np.zeros(10_000, bool), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(left) and not first.any() and peak < 20_000_000
+
+
 def test_link_tables(odd):
     rows = jaccard.linked_documents(odd, 3, 90).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == Counter([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 2, 5), (5, 2, 5), (None, 1, None)])
@@ -176,28 +232,39 @@ def test_measures_equal_brute_force(documents):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
-def brute_quality(rows, min_docs=10, max_share=0.1, enough_docs=100, enough_words=8):
-    """doc_id -> (removed_words, kept), from plain counts of distinct documents."""
+def line(x):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).lower()
+
+
+def base_failed(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    repeated = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
+    return len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+
+
+def bad_lines(rows, min_docs=10, max_share=0.1, enough_docs=100, enough_words=8):
+    """(host, line) above the limits, from plain counts of distinct documents -> the text that keeps it."""
     key = lambda t: int(md5(t.encode()).hexdigest()[:15], 16)
-    normal = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).lower()
-    holders, host, failed = defaultdict(dict), defaultdict(set), {}
+    holders, host = defaultdict(set), defaultdict(set)
     for _, t, h in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        repeated = {i + j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(5)}
-        failed[t] = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
         host[h].add(t or "")
-        for x in filter(None, map(normal, (t or "").split("\n"))):
-            holders[h, x][t] = failed[t]
-    bad = {}
-    for (h, x), texts in holders.items():
-        if len(texts) >= min_docs and (len(texts) > max_share * len(host[h]) or len(texts) >= enough_docs and len(x.split()) >= enough_words):
-            bad[h, x] = min((t for t, f in texts.items() if not f), key=key, default=None)
-    out = {}
+        for x in filter(None, map(line, (t or "").split("\n"))):
+            holders[h, x].add(t)
+    return {
+        (h, x): min((t for t in texts if not base_failed(t)), key=key, default=None)
+        for (h, x), texts in holders.items()
+        if len(texts) >= min_docs and (len(texts) > max_share * len(host[h]) or (len(texts) >= enough_docs and len(x.split()) >= enough_words))
+    }
+
+
+def brute_quality(rows, **limits):
+    """doc_id -> (removed_words, kept)."""
+    bad, out = bad_lines(rows, **limits), {}
     for d, t, h in rows:
-        n = sum(len(x.split()) for x in map(normal, (t or "").split("\n")))
-        removed = sum(len(x.split()) for x in map(normal, (t or "").split("\n")) if (h, x) in bad and bad[h, x] != t)
-        out[d] = (removed, not failed[t] and not (removed and (n - removed < 5 or n - removed < 0.2 * n)))
+        counts = [(x, len(x.split())) for x in map(line, (t or "").split("\n"))]
+        n, removed = sum(c for _, c in counts), sum(c for x, c in counts if (h, x) in bad and bad[h, x] != t)
+        out[d] = (removed, not base_failed(t) and not (removed and (n - removed < 5 or n - removed < 0.2 * n)))
     return out
 
 
@@ -307,7 +374,7 @@ def test_revisits_of_a_burst(spark):
 
 
 def test_stages_equal_brute_force(spark, sf_dir, documents, tmp_path):
-    """Each stage on all that the one before kept."""
+    """Each stage on all that the one before kept: ids, columns, marks."""
     docs, seen = documents, []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
@@ -327,7 +394,7 @@ def test_stages_equal_brute_force(spark, sf_dir, documents, tmp_path):
 
 
 def test_odd_rows_go_through(spark, odd, sf_dir):
-    for rows in (odd.drop("id"), odd.limit(0)):
+    for rows in (odd, odd.limit(0)):
         docs = rows
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf_dir)
@@ -337,6 +404,36 @@ def test_odd_rows_go_through(spark, odd, sf_dir):
     assert Counter(r.doc_id for r in deduped.collect()) == Counter([1, 2, 3, 4, 5, None])
 
 
-def test_run(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns[:3] == ["doc_id", "piece", "start"] and defaultdict(int, out.groupBy("piece").count().collect())
+def test_run(spark, sf_dir, documents):
+    """run() from documents to sequences against plain loops."""
+    from tokenizers import Tokenizer
+
+    rows = documents.collect()
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    bad = bad_lines([(r.doc_id, r.text, r.source) for r in rows])
+    texts = {}
+    for r in rows:
+        if not base_failed(r.text):
+            stay = [x for x in r.text.split("\n") if bad.get((r.source, line(x)), r.text) == r.text]
+            n, left = len(line(r.text).split()), len(line(" ".join(stay)).split())
+            if left == n or left >= max(5, 0.2 * n):
+                texts[r.doc_id] = "\n".join(stay)
+    components = brute_components(word_sets(list(texts.items()), 5), 80)
+    texts = {d: t for d, t in texts.items() if components[d] == d}
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [contain.license_words(t.encode())] for i in range(max(1, len(w) - 4))}
+    items = [grams(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = {d: t for d, t in texts.items() if not any(100 * len(s & grams(t)) >= 80 * len(s) for s in items)}
+    tokenizer = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    expected = set()
+    for d, t in texts.items():
+        ids = [*tokenizer.encode(secrets.redacted(t), add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            expected.add((d, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == expected and len(packed) == len(expected)
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for content in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(content)])
+        assert [o for o, _ in sorted(content)] == [0, *ends[:-1]] and ends[-1] <= 4096

@@ -4,12 +4,14 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +168,14 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("opening", ["<div>", "<b>", "<header>", "<table><tr><td>", "<p><object><div>", "<ul><li>", "<x-y>"])
+def test_deep_nesting_takes_linear_time(opening):
+    """100,000 open elements; climbing the tree for each would take minutes."""
+    start = time.process_time()
+    text = extract.main_text(opening * 100_000 + "some text, here")
+    assert time.process_time() - start < 60 and text in ("some text, here", "")
+
+
 @pytest.mark.parametrize(("html", "text"), CASES)
 def test_main_text(html, text):
     assert extract.main_text(html) == text
@@ -269,8 +279,11 @@ def test_encoder_equals_the_tokenizer():
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     texts = ["Don't stop, it's 5.30 o'clock!!", "é È ALİ. ǅ ﬁ", "á. x y z", "'s 's't", "", "\x1c\x1d tab\tnew\n\nline", "|||| a | b |", "日本語。テスト 123", "école, ÉCOLE"]
-    got = list(packing.Encoder(tokenizer_path(), keep=10).encode([t.encode() for t in texts] + [None], None))
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    texts += ["  lead and trail  ", " ", "\u00a0no-break\u2003wide", "word " * 50]
+    for slice_bytes in (1, 30, 10**6):
+        got = list(packing.Encoder(tokenizer_path(), keep=10, slice_bytes=slice_bytes).encode(pa.array([*texts, None]), None))
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    assert [g.tolist() for g in packing.Encoder(tokenizer_path()).encode(pa.array([None, ""], pa.string()), 1)] == [[1], [1]]
 
 
 def test_packing_tables(odd, empty):
@@ -288,7 +301,7 @@ def restorer(documents):
     return toxicity.Restorer(toxicity.smoothed(toxicity.trigram_counts([t for _, t in documents] + ["you stupid idiot moron scum pathetic trash clown"] * 30).reshape((toxicity.SYMBOLS,) * 3)))
 
 
-@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("stuuupid", "stupid"), ("p4th3tic", "pathetic"), ("$cum", "scum"), ("s.t.u.p.i.d", "stupid"), ("tr@sh,", "trash"), ("he%%%", "he"), ("école", "école"), ("108.51.216.133", "108.51.216.133"), ("", "")])
+@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("stuuupid", "stupid"), ("p4th3tic", "pathetic"), ("$cum", "scum"), ("s.t.u.p.i.d", "stupid"), ("tr@sh,", "trash"), ("he%%%", "he"), ("école", "école"), ("108.51.216.133", "108.51.216.133"), ("", ""), ("іdiоt", "idiot"), ("ѕtuріd", "stupid")])
 def test_restored_words(restorer, token, word):
     assert restorer.word(token) == word
 
@@ -297,6 +310,24 @@ def test_letters_apart(restorer):
     assert {"stupid", "moron"} <= restorer.words("s t u p i d and m-o-r-o-n")
 
 
+def test_features_are_those_of_the_restored_words(restorer, documents):
+    """The quick way over plain tokens gives what the words give, also when caches are emptied."""
+    weights = {g: float(len(w)) for w in ("stupid", "moron", "ation", "idiot") for g in toxicity.grams(w)}
+    texts = [t for _, t in documents[:60]] + [None, "", "s t u p i d", "a b 1d10t", "x\ny z\nmoron moron m o r o n", "m. o. r. o. n!"]
+    for keep in (10, 300_000):
+        telling = toxicity.Telling(toxicity.Restorer(np.array(restorer.costs), keep), weights, keep)
+        for t in texts * 2:
+            assert telling.features(t) == toxicity.features(restorer.words(t), telling.weight)
+
+
+def test_long_tokens_and_repeated_rows(spark, restorer):
+    assert restorer.word("s.t.u.p.i.d" + "x0" * 30_000)[:6] == "stupid"  # linear in the token's length
+    rows = [(i, f"word{i} {'you idiot' if i % 4 == 0 else 'friend'}") for i in range(400)] + [(500, "you 1d10t " + "word " * 200_000), (501, "you 1d10t"), (501, "you 1d10t")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    out = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("doc_id >= 500").collect()
+    assert sorted(r.doc_id for r in out) == [500, 501, 501] and len({r.score for r in out}) == 1 and out[0].predicted == 1
+
+
 def test_viterbi_equals_all_readings(restorer):
     import itertools
 
@@ -331,6 +362,55 @@ def test_toxicity_learns_and_holds_out(spark):
 # --- Language -----------------------------------------------------------------------------------------------------
 
 
+def brute_languages(pages, docs):
+    """page_id -> (lang, prob), by plain loops over the evidence."""
+    counts = defaultdict(Counter)
+    for lang, t in docs:
+        counts[lang].update(language.gram_buckets(t).tolist())
+    langs = sorted(counts)
+    size = {x: sum(counts[x].values()) + 0.5 * language.BUCKETS for x in langs}
+    share = lambda w: [x / sum(w) for x in w]
+    rows = []
+    for i, url, html in pages:
+        grams = language.gram_buckets(extract.main_text(html)).tolist()
+        ll = [0.05 * sum(math.log((counts[x][g] + 0.5) / size[x]) for g in grams) for x in langs]
+        ll = [max(x - max(ll), -30.0) for x in ll]
+        host, path = re.match(r"https?://([^/?#:]*)[^/?#]*([^?#]*)", url.lower()).groups()
+        rows.append((i, host, ".".join(host.split(".")[-2:]), language.declared_language(html), language.address_language(host, path), ll, share([math.exp(x) for x in ll])))
+    k = range(len(langs))
+    total = [sum(r[6][j] for r in rows) for j in k]
+    everywhere = [(t + 1) / (sum(total) + len(langs)) for t in total]
+
+    def likelihood(c, value, j):
+        return math.log((sum(r[6][j] for r in rows if r[c] == value) + 0.5) / (total[j] + 0.5 * (len({r[c] for r in rows}) + 1)))
+
+    out = {}
+    for r in rows:
+        others = lambda c: [max(sum(x[6][j] for x in rows if x[c] == r[c]) - r[6][j], 0.0) for j in k]  # noqa: B023, E731
+        domain, host = others(2), others(1)
+        domain = [(d + 20 * e) / (sum(domain) + 20) for d, e in zip(domain, everywhere, strict=True)]
+        host = [(h + 5 * d) / (sum(host) + 5) for h, d in zip(host, domain, strict=True)]
+        fused = [r[5][j] + likelihood(3, r[3], j) + likelihood(4, r[4], j) + math.log(host[j]) for j in k]
+        post = share([math.exp(x - max(fused)) for x in fused])
+        out[r[0]] = (langs[post.index(max(post))], max(post))
+    return out
+
+
+def test_languages_equal_brute_force(spark, sf_dir):
+    pages, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "documents"))
+    expected = brute_languages([(r.page_id, r.url, r.html) for r in pages.collect()], [(r.lang, r.text) for r in docs.collect()])
+    got = {r.page_id: (r.lang, r.prob) for r in language.identify(pages, docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in expected.items()} and len({x[0] for x in got.values()}) > 1
+    assert all(math.isclose(got[i][1], expected[i][1], rel_tol=1e-6) for i in got)
+
+
+def test_long_and_repeated_pages(spark):
+    docs = spark.createDataFrame([(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")
+    rows = [(1, "https://a.org/", f"<p>{'the garden and the house ' * 40_000}</p>"), (2, "https://b.org/", "<p>der garten</p>"), (2, "https://b.org/", "<p>der garten</p>")]
+    out = language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert sorted((r.page_id, r.lang) for r in out) == [(1, "en"), (2, "de"), (2, "de")]
+
+
 def test_language_fusion(spark):
     docs = spark.createDataFrame([(i, "the house and the garden with a tree" if i % 2 else "das haus und der garten mit einem baum", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
     page = lambda lang, t: f'<html lang="{lang}"><article><p>{t}</p></article></html>'

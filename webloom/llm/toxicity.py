@@ -1,17 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Tokens that look written in
-disguise (digits or signs for letters, letters set apart, letters repeated) become
-lattices: each place offers its own character and what it may stand for, separators may
-vanish and repeated letters may collapse, each at a channel cost. Viterbi search finds
-the most likely reading under channel and language model; other tokens read as they
-are. The restored words are scored: each character n-gram of a word carries the
+disguise (digits, signs or look-alike letters of another script for letters, letters set
+apart, letters repeated) become lattices: each place offers its own character and what
+it may stand for, separators may vanish and repeated letters may collapse, each at a
+channel cost. Viterbi search finds the most likely reading under channel and language
+model; other tokens read as they are. Single letters that follow one another are read as
+one token. The restored words are scored: each character n-gram of a word carries the
 confident log odds of toxic against other documents, a word takes the largest of its
 n-grams, and a logistic function of the two most telling words gives the score.
 
 What is learnt from labels uses only rows whose crc32(id as text) mod 3 is not 1, and of
-them a sample of at most about ``max_train`` documents, chosen by hash. The language
-model's counts cover every document.
+them a sample of at most about ``max_train`` documents, chosen by hash. Of the n-grams of
+toxic documents those count that stand in at least 3 of them and in one of 500, so that
+there are at most 500 for each n-gram of a document; none of these is left out. The
+language model's counts cover every document.
 
 Defined results: null and empty texts have no words and get the score of no evidence;
 repeated rows score alike; a document labelled more than once is toxic if any label is;
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import checkpointed
+from webloom.llm.common import checkpointed, tidy
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Letters of other scripts that look like Latin ones.
+LOOK_ALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "к": "k", "м": "m", "т": "t", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u"}
 SEPARATORS = ".-_*~ '·"
 #: Channel costs (negative log probabilities).
 SIGN_COST, DROP_COST, REPEAT_COST, OTHER_COST = 1.5, 0.5, 0.2, 9.0
 
 _STRIP = " \t\n\r\x0b\x0c.,;:?!\"'`()[]{}<>|*&%#~^=/\\-_+"
 _LETTER = r"[^\W\d_]"
-#: A token is read as a lattice if it has a letter, and a sign next to a letter, or a letter three times in a row, or separators between letters.
-DISGUISED = re.compile(rf"(?:{_LETTER}[0-9@$!|+(€£¡]|[0-9@$!|+(€£¡]{_LETTER}|({_LETTER})\1\1|{_LETTER}[.\-_*~'·]{_LETTER})")
-#: Four or more single letters or signs set apart.
-APART = re.compile(rf"(?<![\w@$!])(?:(?:{_LETTER}|[0-9@$!])[ .\-_*~·]{{1,2}}){{3,}}(?:{_LETTER}|[0-9@$!])(?![\w@$!])")
+_ALIKE = "".join(LOOK_ALIKES)
+#: A token is read as a lattice if it has a letter, and a sign or a look-alike next to a letter, or a letter three times in a row, or separators between letters.
+DISGUISED = re.compile(rf"(?:{_LETTER}[0-9@$!|+(€£¡]|[0-9@$!|+(€£¡]{_LETTER}|({_LETTER})\1\1|{_LETTER}[.\-_*~'·]{_LETTER}|[a-z][{_ALIKE}]|[{_ALIKE}][a-z])")
+REPEATED = re.compile(r"(.)\1\1")  # all that is left of it for ASCII letters
+#: A token of single letters or signs with separators between them.
+SINGLES = re.compile(rf"(?:{_LETTER}|[0-9@$!])(?:[.\-_*~·]{{1,2}}(?:{_LETTER}|[0-9@$!]))*")
+#: Marks around such a token, and how many letters in a row are one word set apart.
+_AROUND, APART = ".,;:?\"'`()[]{}<>|*&%#~^=/\\-_·", 4
 
 #: Symbols of the language model: 0 for what is no letter, a-z, and 32 classes of other letters.
 SYMBOLS = 59
@@ -89,7 +98,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS ** 3
+    rows = docs.select(text_col).mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS ** 3
     n = np.zeros(SYMBOLS**3)
     n[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     return smoothed(n.reshape(SYMBOLS, SYMBOLS, SYMBOLS))
@@ -112,7 +121,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([("", DROP_COST)] + ([(m[0], 0.0)] if ch == "'" else []))
             continue
         options = [(ch * k, REPEAT_COST * (n - k)) for k in ({1, 2, n} if n > 2 else {n})]
-        for sign in LEET.get(ch, ""):
+        for sign in LEET.get(ch, LOOK_ALIKES.get(ch, "")):
             options += [(sign * k, SIGN_COST + REPEAT_COST * (n - k)) for k in ({1, 2} if n > 1 else {1})]
         out.append(options)
     return out
@@ -120,10 +129,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, costs: list) -> str:
     """The most likely reading of a lower-case token: Viterbi search whose states are the last two symbols. ``costs``: the model as nested lists."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # cost, and the reading as (reading before, piece)
     for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (cost, read) in best.items():
             for piece, channel in options:
                 x, y, c = a, b, cost + channel
                 for ch in piece:
@@ -131,9 +140,19 @@ def decode(token: str, costs: list) -> str:
                     c += costs[x][y][z] if z else OTHER_COST  # what is no letter has no place in a word
                     x, y = y, z
                 if (x, y) not in after or c < after[x, y][0]:
-                    after[x, y] = (c, text + piece)
+                    after[x, y] = (c, (read, piece))
         best = after
-    return min(((c + costs[a][b][0], t) for (a, b), (c, t) in best.items()))[1]
+
+    def text(read: tuple) -> str:
+        out = []
+        while read:
+            read, piece = read
+            out.append(piece)
+        return "".join(reversed(out))
+
+    ends = [(c + costs[a][b][0], read) for (a, b), (c, read) in best.items()]
+    least = min(c for c, _ in ends)
+    return min(text(read) for c, read in ends if c == least)
 
 
 def _symbol(ch: str) -> int:
@@ -142,15 +161,17 @@ def _symbol(ch: str) -> int:
 
 
 class Restorer:
-    """Restored words of texts, remembered for up to ``keep`` tokens."""
+    """Restored words of texts, remembered until there are ``keep`` tokens at the start of a text."""
 
     def __init__(self, costs: np.ndarray, keep: int = 300_000) -> None:
-        self.costs, self.keep, self.cache = costs.tolist(), keep, {}
+        self.costs, self.keep = costs.tolist(), keep
+        self.cache: dict[str, str] = {}
+        self.singles: dict[str, str] = {}  # of tokens of single letters, these
 
     def word(self, token: str) -> str:
         """One token without the marks around it, read through the lattice if it is disguised."""
         core = token.strip(_STRIP)
-        if core.isalpha() and not DISGUISED.search(core):
+        if core.isalpha() and not (REPEATED if core.isascii() else DISGUISED).search(core):
             return core
         if not any(c.isalpha() for c in token):
             return core
@@ -158,22 +179,44 @@ class Restorer:
         read = re.sub(r"[$@]+$", "", read)  # signs at the end are marks; elsewhere they may be letters
         return decode(read, self.costs).strip(_STRIP) if DISGUISED.search(read) else core
 
+    def tokens(self, text: str) -> list[str]:
+        if len(self.cache) >= self.keep:
+            self.cache.clear()
+            self.singles.clear()
+        return text.lower().split()
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        for token in tokens:
+            self.cache[token] = self.word(token)
+            core = token.strip(_AROUND)
+            if SINGLES.fullmatch(core):
+                self.singles[token] = re.sub(r"[.\-_*~·]", "", core)
+
+    def apart(self, tokens: list[str]) -> set[str]:
+        """Words whose letters are set apart: runs of tokens of single letters, with a letter in them, read as one."""
+        out = set()
+        singles = self.singles
+        at = [i for i, t in enumerate(tokens) if t in singles]
+        start = 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or at[k] != at[k - 1] + 1:
+                if k - start > 1:
+                    joined = "".join([singles[tokens[i]] for i in at[start:k]])
+                    if len(joined) >= APART and any(c.isalpha() for c in joined):
+                        out.add(decode(joined, self.costs))
+                start = k
+        return out
+
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
         if not text:
             return set()
-        lower = text.lower()
-        cache, out = self.cache, set()
-        for token in set(lower.split()):
-            word = cache.get(token)
-            if word is None:
-                word = self.word(token)
-                if len(cache) >= self.keep:
-                    cache.clear()
-                cache[token] = word
-            out.add(word)
-        for m in APART.finditer(lower):
-            out.add(decode(re.sub(r"[ .\-_*~·]", "", m[0]), self.costs))
+        tokens = self.tokens(text)
+        distinct = set(tokens)
+        self.learn(distinct.difference(self.cache))
+        out = set(map(self.cache.__getitem__, distinct))
+        if not self.singles.keys().isdisjoint(distinct):
+            out |= self.apart(tokens)
         out.discard("")
         return out
 
@@ -207,29 +250,70 @@ def _gram_counts(train: DataFrame, among: frozenset[str] | None) -> DataFrame:
                 total.update(have)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    return train.select("words").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return train.select("words").mapInArrow(tidy(count), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def confident_odds(toxic: np.ndarray, n_toxic: int, other: np.ndarray, n_other: int) -> np.ndarray:
-    """Log odds of n-grams, with each count moved by its standard deviation towards no evidence."""
-    low = (toxic - np.sqrt(toxic) + 0.5) / (n_toxic + 1)
-    high = (other + np.sqrt(other) + 1.0) / (n_other + 1)
+    """Log odds of n-grams, with each count moved by two standard deviations towards no evidence."""
+    low = (np.maximum(toxic - 2 * np.sqrt(toxic), 0.0) + 0.1) / (n_toxic + 1)
+    high = (other + 2 * np.sqrt(other) + 1.0) / (n_other + 1)
     return np.log(low) - np.log(high)
 
 
-def features(words: set[str], weights: dict[str, float], cache: dict[str, float], keep: int = 300_000) -> tuple[float, float]:
-    """The weights of the two most telling words (0 if there is none)."""
-    first = second = 0.0
-    for w in words:
-        x = cache.get(w)
+class Telling:
+    """Weights of the words of texts. Tokens without one are remembered as such, so that most of a text is passed over at once."""
+
+    def __init__(self, restorer: Restorer | None, weights: dict[str, float], keep: int = 300_000) -> None:
+        self.restorer, self.weights, self.keep = restorer, weights, keep
+        self.starts = {g[:4] for g in weights}
+        self.cache: dict[str, float] = {}
+        self.plain: set[str] = set()
+
+    def weight(self, word: str) -> float:
+        """The largest weight of a word's n-grams, 0 without one."""
+        x = self.cache.get(word)
         if x is None:
-            x = max((weights.get(g, 0.0) for g in grams(w)), default=0.0)
-            if len(cache) >= keep:
-                cache.clear()
-            cache[w] = x
-        if x > second:
-            first, second = (x, first) if x > first else (first, x)
-    return first, second
+            w = f"^{word}$"
+            if len(w) >= 4 and self.starts.isdisjoint([w[i : i + 4] for i in range(len(w) - 3)]):
+                x = 0.0  # each n-gram with a weight begins with one of these
+            else:
+                x = max((self.weights.get(g, 0.0) for g in grams(word)), default=0.0)
+            if len(self.cache) >= self.keep:
+                self.cache.clear()
+            self.cache[word] = x
+        return x
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """The weights of the two most telling words (0 if there is none)."""
+        if not text:
+            return 0.0, 0.0
+        restorer = self.restorer
+        tokens = restorer.tokens(text)
+        if len(self.plain) >= self.keep:
+            self.plain.clear()
+        found: dict[str, float] = {}
+        some_apart = False
+        for t in set(tokens).difference(self.plain):
+            if t not in restorer.cache:
+                restorer.learn((t,))
+            word = restorer.cache[t]
+            x = self.weight(word) if word else 0.0
+            if t in restorer.singles:
+                some_apart = True
+            elif not x:
+                self.plain.add(t)
+            if x:
+                found[word] = x
+        if some_apart:
+            found |= {w: x for w in restorer.apart(tokens) if w and (x := self.weight(w))}
+        best = sorted(found.values(), reverse=True)[:2]
+        return (*best, 0.0, 0.0)[:2]
+
+
+def features(words: Iterable[str], weight: Callable[[str], float]) -> tuple[float, float]:
+    """The same for words that are restored already."""
+    best = sorted(map(weight, words), reverse=True)[:2]
+    return (*best, 0.0, 0.0)[:2]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -248,7 +332,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 24_000, most_grams: int = 20_000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 24_000
 ) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.7), evidence (the most telling word's weight)."""
     spark = docs.sparkSession
@@ -265,7 +349,7 @@ def toxicity(
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(restorer.words(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], names=["words", "y"])
 
-    train = checkpointed(rows.join(known, F.col("id") == F.col("label_id")).select("text", F.col("y").cast("int").alias("y")).mapInArrow(restore, "words array<string>, y int"))
+    train = checkpointed(rows.join(known, F.col("id") == F.col("label_id")).select("text", F.col("y").cast("int").alias("y")).mapInArrow(tidy(restore), "words array<string>, y int"))
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic = sum(n for y, n in sizes.items() if y > 0)
     n_other = sum(n for y, n in sizes.items() if y <= 0)
@@ -273,7 +357,7 @@ def toxicity(
     beta = np.array([-30.0, 0.0, 0.0])
     if n_toxic and n_other:
         least = max(3, n_toxic // 500)
-        top = _gram_counts(train.where("y > 0"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(most_grams).toArrow()
+        top = _gram_counts(train.where("y > 0"), None).where(F.col("n") >= least).toArrow()
         names = top.column("gram").to_pylist()
         other = dict(zip(*(_gram_counts(train.where("y <= 0"), frozenset(names)).toArrow().to_pydict().values()), strict=True))
         odds = confident_odds(top.column("n").to_numpy().astype(float), n_toxic, np.array([other.get(g, 0) for g in names], float), n_other)
@@ -281,23 +365,22 @@ def toxicity(
         model = spark.sparkContext.broadcast(weights)
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache: dict[str, float] = {}
+            weight = Telling(None, model.value).weight
             for b in batches:
-                f = [features(set(w), model.value, cache) for w in b.column(0).to_pylist()]
+                f = [features(w, weight) for w in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in f], pa.float64()), pa.array([x for _, x in f], pa.float64()), b.column(1)], names=["f1", "f2", "y"])
 
-        points = train.mapInArrow(featured, "f1 double, f2 double, y int").toArrow()  # about max_train rows of three numbers
+        points = train.mapInArrow(tidy(featured), "f1 double, f2 double, y int").toArrow()  # about max_train rows of three numbers
         x = np.c_[points.column("f1").to_numpy(), points.column("f2").to_numpy()]
         beta = fit_logistic(x, (points.column("y").to_numpy() > 0).astype(float))
     model = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(costs.value)
-        cache: dict[str, float] = {}
+        telling = Telling(Restorer(costs.value), model.value)
         for b in batches:
-            f = np.array([features(restorer.words(t), model.value, cache) for t in b.column(1).to_pylist()]).reshape(b.num_rows, 2)
+            f = np.array([telling.features(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, 2)
             s = 1 / (1 + np.exp(-np.clip(beta[0] + f @ beta[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(f[:, 0])], names=["id", "score", "evidence"])
 
-    scored = rows.mapInArrow(score, T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))
+    scored = rows.mapInArrow(tidy(score), T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))
     return scored.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
