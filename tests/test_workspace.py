@@ -109,3 +109,40 @@ def test_delete(corpus):
     assert corpus.table("paragraph").count() == 0
     corpus.land_delete("alpha")
     assert corpus.table("expression").count() == corpus.table("land").count() == corpus.table("expressionlink").count() == 0
+
+
+def test_appended_parts(spark, tmp_path, monkeypatch):
+    """Added rows are parts of the snapshot; a failed command leaves it as it was; too many parts become one."""
+    from webloom import workspace
+
+    monkeypatch.setattr(workspace, "MOST_PARTS", 3)
+    w = Workspace(spark, str(tmp_path / "w"))
+    w.db_setup()
+    parts = []
+    for i in range(4):
+        w.land_create(f"l{i}")
+        parts.append(len(w._pointers()["land"]))
+    assert parts == [2, 3, 1, 2] and sorted((r.id, r.name) for r in w.table("land").collect()) == [(i + 1, f"l{i}") for i in range(4)]
+    with pytest.raises(Exception, match="stop"):
+        w.append(land=spark.range(1).select(F.raise_error(F.lit("stop")).cast("long").alias("id")))
+    assert w.table("land").count() == 4 and w.db_migrate() == 0
+
+
+def test_command_line_with_tables(spark, corpus, tmp_path):
+    """Payloads, answers and files come from Parquet tables."""
+    from webloom.plans.edges import png
+
+    tables = {
+        "payloads": spark.createDataFrame([("https://a.example/1", '{"k":1}')], "url string, seorank string"),
+        "answers": spark.range(1, 100).select("id", F.lit("oui").alias("answer")),
+        "images": spark.createDataFrame([("https://a.example/i.png", bytearray(png(3, 2, (255, 0, 0))))], "url string, content binary"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    for verb, name in (("seorank", "payloads"), ("llm validate", "answers"), ("medianalyse", "images")):
+        when = ["--as-of", "2024-01-03"] if name == "images" else []
+        assert cli.main(["--root", str(corpus.root), "--name", "alpha", f"--{name}", str(tmp_path / name), *when, "land", *verb.split()]) == 0
+    e = {r.url: r for r in corpus.table("expression").collect()}
+    assert e["https://a.example/1"].seorank == '{"k":1}' and e["https://a.example/1"].validllm == "oui"
+    m = corpus.table("media").first()
+    assert (m.width, m.height, m.websafe_colors, m.analyzed_at) == (3, 2, {"#ff0000": "100.0"}, T2.replace(day=3))

@@ -2,7 +2,8 @@
 
 Every command reads the current snapshots, computes new ones as DataFrames and writes
 them under a new version; a pointer file is switched last, so a command that fails
-leaves the corpus as it was. Times are parameters (``as_of``), never the clock.
+leaves the corpus as it was. A command that only adds rows writes these as one more part
+of the snapshot. Times are parameters (``as_of``), never the clock.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,31 +26,52 @@ from webloom.sources import sinks
 EXPORTS = ("pagecsv", "fullpagecsv", "nodecsv", "pagegexf", "nodegexf", "mediacsv", "corpus", "pseudolinks", "pseudolinkspage", "pseudolinksdomain")
 
 
+#: Parts of a snapshot at most.
+MOST_PARTS = 50
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, Path(root)
 
     # --- Snapshots ---------------------------------------------------------------------------------------------------
 
-    def _pointers(self) -> dict[str, int]:
+    def _pointers(self) -> dict[str, list[int]]:
+        """The versions that make up each table's snapshot."""
         p = self.root / "tables.json"
         return json.loads(p.read_text()) if p.exists() else {}
 
+    def _paths(self, name: str, versions: list[int]) -> list[str]:
+        return [str(self.root / name / str(v)) for v in versions]
+
     def table(self, name: str) -> DataFrame:
-        version = self._pointers().get(name)
-        if version is None:
+        versions = self._pointers().get(name)
+        if versions is None:
             return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.schema(schema.TABLES[name]).parquet(str(self.root / name / str(version)))
+        return self.spark.read.schema(schema.TABLES[name]).parquet(*self._paths(name, versions))
 
     def write(self, **tables: DataFrame) -> None:
         """New snapshots of several tables, switched to at once."""
+        self._store(tables, keep=False)
+
+    def append(self, **tables: DataFrame) -> None:
+        """New rows of several tables, as one more part of each; a snapshot of ``MOST_PARTS`` parts is written anew."""
+        many = {n for n in tables if len(self._pointers().get(n, [])) >= MOST_PARTS}
+        self._store({n: self.table(n).unionByName(self._rows(n, df)) if n in many else df for n, df in tables.items()}, keep=True, anew=many)
+
+    @staticmethod
+    def _rows(name: str, df: DataFrame) -> DataFrame:
+        """The columns of the schema; those that are not there are null."""
+        have = set(df.columns)
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.TABLES[name]])
+
+    def _store(self, tables: dict[str, DataFrame], keep: bool, anew: set[str] = frozenset()) -> None:
         now = self._pointers()
         for name, df in tables.items():
-            version = now.get(name, 0) + 1
-            have = set(df.columns)
-            row = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.TABLES[name]]
-            df.select(*row).write.mode("overwrite").parquet(str(self.root / name / str(version)))
-            now[name] = version
+            old = now.get(name, [])
+            version = max(old, default=0) + 1
+            self._rows(name, df).write.mode("overwrite").parquet(str(self.root / name / str(version)))
+            now[name] = [*old, version] if keep and name not in anew else [version]
         self.root.mkdir(parents=True, exist_ok=True)
         new = self.root / "tables.json.new"
         new.write_text(json.dumps(now))
@@ -72,10 +95,10 @@ class Workspace:
     def db_migrate(self) -> int:
         """Rewrite tables whose stored columns are not those of the schema."""
         done = 0
-        for name, version in self._pointers().items():
-            found = self.spark.read.parquet(str(self.root / name / str(version)))
-            if found.columns != schema.TABLES[name].names:
-                self.write(**{name: found})
+        for name, versions in self._pointers().items():
+            parts = [self.spark.read.parquet(p) for p in self._paths(name, versions)]
+            if any(p.columns != schema.TABLES[name].names for p in parts):
+                self.write(**{name: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)})
                 done += 1
         return done
 
@@ -117,7 +140,7 @@ class Workspace:
         if lands.where(F.col("name") == name).count():
             raise ValueError(f"a land named {name!r} is there already")
         n = self._next_id("land")
-        self.write(land=lands.unionByName(self.spark.createDataFrame([(n, name, description, lang, as_of)], schema.TABLES["land"])))
+        self.append(land=self.spark.createDataFrame([(n, name, description, lang, as_of)], schema.TABLES["land"]))
         return n
 
     def land_list(self) -> DataFrame:
@@ -148,7 +171,7 @@ class Workspace:
         wanted = self.spark.createDataFrame([(land, t.strip()) for t in terms if t.strip()], "land_id long, term string").distinct()
         new = relevance.dictionary(wanted).join(self.table("word").select("land_id", "term"), ["land_id", "term"], "left_anti")
         n = new.count()
-        self.write(word=self.table("word").unionByName(new.select("land_id", "term", "lemma")))
+        self.append(word=new)
         self._rescore(land)
         return n
 
@@ -168,7 +191,7 @@ class Workspace:
         new = self._numbered(new, "expression", "url")
         n = new.count()
         if n:
-            self.write(expression=e.unionByName(new, allowMissingColumns=True))
+            self.append(expression=new)
         return n
 
     def land_addurl(self, name: str, addresses: str | None = None, path: str | None = None, as_of: datetime | None = None) -> int:
@@ -318,10 +341,10 @@ class Workspace:
         rows = paragraphs.first_by_hash(paragraphs.split_pages(pages))
         known = self.table("paragraph")
         new = self._numbered(rows.join(known.select("text_hash"), "text_hash", "left_anti").withColumn("created_at", F.lit(as_of).cast("timestamp_ntz")), "paragraph", "text_hash")
-        self.write(paragraph=known.unionByName(new, allowMissingColumns=True))
+        self.append(paragraph=new)
         e = self.table("paragraph_embedding")
         made = paragraphs.embed(paragraphs.without_embedding(self.table("paragraph"), e), provider).withColumn("created_at", F.lit(as_of).cast("timestamp_ntz"))
-        self.write(paragraph_embedding=e.unionByName(made.select(*e.columns)))
+        self.append(paragraph_embedding=made)
         return {"paragraphs": self.table("paragraph").count(), "embeddings": self.table("paragraph_embedding").count()}
 
     def embedding_similarity(self, name: str, as_of: datetime, threshold: float = 0.75, method: str = "cosine", topk: int = 0, lshbits: int = 16, minrel: int = 0, maxpairs: int = 0, predict: similarity.Predictor = similarity.neutral) -> int:
