@@ -277,10 +277,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int | None
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. About ``per_salt`` pieces of one length are ranked together."""
     spark = docs.sparkSession
     unsalted = checkpointed(pieces(docs, tokenizer, capacity, end, id_col, text_col))
-    by_length = unsalted.groupBy("length").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))  # at most capacity rows
+    n = F.count("*")
+    salts = F.greatest(F.ceil(n / per_salt), F.least(F.lit(64), F.ceil(n / 100))).cast("int")  # up to 64 for the spread, more by count
+    by_length = unsalted.groupBy("length").agg(salts.alias("salts"))  # at most capacity rows
     rows = unsalted.join(F.broadcast(by_length), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).select(*unsalted.columns, "salt")
     histogram = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    h = histogram.toArrow()  # at most capacity + pieces / per_salt rows
+    h = histogram.toArrow()  # at most 64 * capacity + pieces / per_salt rows
     length, salt, n = (h.column(c).to_numpy().astype(np.int64) for c in ("length", "salt", "n"))
     order = np.lexsort((salt, length))
     length, salt, n = length[order], salt[order], n[order]
