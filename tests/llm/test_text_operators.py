@@ -8,6 +8,7 @@ import time
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -286,6 +287,42 @@ def test_encoder_equals_the_tokenizer():
     assert [g.tolist() for g in packing.Encoder(tokenizer_path()).encode(pa.array([None, ""], pa.string()), 1)] == [[1], [1]]
 
 
+WORDS = st.text(st.sampled_from("abzEÉéßÀ×÷ÿńŁжЖİſKÅ日\u0301\u0338\u200d\x00\x1c\u00a0'.,=0٣-"), max_size=20) | st.sampled_from(["a" * 15, "a" * 16, "é" * 7 + "a", "é" * 8, "a" * 300, "a\x00", "don't,", "x=\u0338"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=12).map(" ".join), max_size=5), st.integers(1, 40), st.integers(1, 200))
+def test_encoder_on_odd_words(texts, keep, slice_bytes):
+    """Words of all alphabets and lengths, and a cache that forgets: as the tokenizer alone, by the bare model and without it."""
+    by = coders()
+    for name in ("bare", "full"):
+        by[name].keep, by[name].slice_bytes = keep, slice_bytes
+        got = [g.tolist() for g in by[name].encode(pa.array([*texts, None], pa.string()), None)]
+        assert got == [by["full"].tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
+@lru_cache
+def coders():
+    by = {name: packing.Encoder(tokenizer_path()) for name in ("bare", "full")}
+    assert by["bare"].bare
+    by["full"].bare = False
+    return by
+
+
+SYLLABLES = [x + y for x in "bcdfghjklm" for y in "aeiouy"]
+
+
+def test_words_are_learnt_once(monkeypatch):
+    """Over 300,000 words in turn, with and without marks, stay in the cache: each goes to the tokenizer once."""
+    words = [f"{a}{b}{c}{d}e" for a in "bcdfghjklmnpqrs" for b in "aeiouy" for c in SYLLABLES for d in SYLLABLES]
+    texts = pa.array([" ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)] + [", ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)])
+    encoder, learnt = packing.Encoder(tokenizer_path()), Counter()
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learnt.update(new), learn(new))[1])
+    assert sum(1 for _ in encoder.encode(texts, 1)) == len(texts) and len(words) > 300_000
+    assert sum(n for w, n in learnt.items() if w not in (b",", b"")) == len(words)
+
+
 def test_packing_tables(odd, empty):
     rows = packing.pack(odd, tokenizer_path(), per_salt=1).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(d for d, _, _ in ODD)
