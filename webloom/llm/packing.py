@@ -161,7 +161,8 @@ class _Table:
         if 2 * stop > len(self.slots):
             self.slots = np.full(1 << (3 * stop).bit_length(), -1, np.int32)
             first = 0
-        self._place(first, stop)
+        for a in range(first, stop, 50_000):
+            self._place(a, min(a + 50_000, stop))
 
     def ids_of(self, rows: np.ndarray) -> np.ndarray:
         return _ragged(self.ids, self.starts[rows], self.lengths[rows])
@@ -181,7 +182,7 @@ class Encoder:
     words come back as they are met again.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, slice_bytes: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000, slice_bytes: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -189,7 +190,7 @@ class Encoder:
         self.young, self.old = _Table(), None
         self.model = self.tokenizer.model
         probe = f"the quick unbelievably s t re ve m ll d xqzvkjw a internationalisation école größe español {_LATIN} {' '.join(_LATIN)}".split(" ")
-        self.bare = self._bare([w.encode() for w in probe])[0].tolist() == self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids
+        self.bare = next(self._bare([w.encode() for w in probe]))[0].tolist() == self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -200,10 +201,11 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return _flat(ids)
 
-    def _bare(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        joined = b" ".join(words).decode()
-        named = (joined if joined.isascii() else joined.translate(_BYTE_LEVEL)).split(" ") if words else []
-        return _flat([[t.id for t in self.model.tokenize(w)] for w in named])
+    def _bare(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(words), 2000):
+            joined = b" ".join(words[at : at + 2000]).decode()
+            named = (joined if joined.isascii() else joined.translate(_BYTE_LEVEL)).split(" ")
+            yield _flat([[t.id for t in self.model.tokenize(w)] for w in named])
 
     def _letters(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(words), 2000):
@@ -222,7 +224,7 @@ class Encoder:
                 latin.append(i)
             else:
                 (letters if not w.isascii() and w.decode().lower().isalpha() else other).append(i)
-        found = [self._bare([words[i] for i in some]) for some in (plain, latin)]
+        found = [*self._bare([words[i] for i in plain]), *self._bare([words[i] for i in latin])]
         found += [*self._letters([words[i] for i in letters]), self._each([words[i] for i in other])]
         return plain + latin + letters + other, np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found])
 
